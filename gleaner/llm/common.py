@@ -201,3 +201,22 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
     return both.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+
+
+def one_each(docs: DataFrame) -> DataFrame:
+    """The numbered rows of ``docs``, one a doc_id: of rows that repeat one, that with the least text.
+
+    Finding repeats reads the doc_id column only; documents are moved only where there are some.
+    """
+    numbered = docs.where("doc_id is not null")
+    twice = cut(numbered.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return numbered
+    once = numbered.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    row = F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("_row")
+    least = numbered.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(row)
+    return once.unionByName(least.select("doc_id", *(F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "doc_id")))
+
+
+def without_number(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is null")

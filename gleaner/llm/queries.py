@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import simhash
+from gleaner.llm import simhash, suffix_array
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_simhash_near_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+@query("op2_suffix_array_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.repeats(_read(spark, sf_dir, "documents"))
