@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import simhash, suffix_array
+from gleaner.llm import language, simhash, suffix_array
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_suffix_array_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.repeats(_read(spark, sf_dir, "documents"))
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_read(spark, sf_dir, "documents"))
