@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import language, simhash, suffix_array
+from gleaner.llm import decontam, language, simhash, suffix_array
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_language_id")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_read(spark, sf_dir, "documents"))
+
+
+@query("op4_benchmark_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
