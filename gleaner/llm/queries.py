@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontam, language, simhash, suffix_array
+from gleaner.llm import decontam, language, mixing, simhash, suffix_array
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +42,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_benchmark_decontamination")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+OP5_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\f\r]+'))::BIGINT AS tokens,
+         ('0x' || substr(md5('17:' || doc_id::VARCHAR), 1, 12))::BIGINT AS key
+  FROM documents WHERE doc_id IS NOT NULL
+), placed AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY key, doc_id) - tokens AS start,
+         sum(tokens) OVER (PARTITION BY source) AS source_tokens
+  FROM sized WHERE tokens > 0
+), goals AS (
+  SELECT count(DISTINCT coalesce(source, '')) AS sources, sum(tokens) AS total FROM placed
+), goal AS (
+  SELECT placed.*, (total // sources)::BIGINT AS goal FROM placed, goals
+)
+SELECT doc_id, source, epoch::INTEGER AS epoch, tokens,
+       least(tokens, goal - start - epoch * source_tokens)::BIGINT AS taken
+FROM (SELECT *, unnest(range(0, ((goal - 1 - start) // source_tokens + 1)::BIGINT)) AS epoch FROM goal WHERE start < goal)
+"""
+
+
+@query("op5_source_mixing", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selection(_read(spark, sf_dir, "documents"))
