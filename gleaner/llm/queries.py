@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from gleaner.llm import decontam, language, mixing, simhash, suffix_array
 
 QUERIES: dict = {}
@@ -67,3 +68,8 @@ FROM (SELECT *, unnest(range(0, ((goal - 1 - start) // source_tokens + 1)::BIGIN
 @query("op5_source_mixing", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selection(_read(spark, sf_dir, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
