@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gleaner.llm import decontam, language, mixing, simhash, suffix_array, token_count
+from gleaner.llm import decontam, language, mixing, simhash, suffix_array, token_count, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_read(spark, sf_dir, "documents"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_spans(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
