@@ -39,7 +39,7 @@ SAMPLE = 6000
 MIN_CONTEXTS = 5
 MIN_DOCUMENTS = 3
 MIN_ODDS = 20.0
-THRESHOLD = 0.7
+THRESHOLD = 0.8
 NOISE = 0.1
 WINDOW = 96
 SLOTS = 20
