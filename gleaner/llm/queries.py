@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gleaner.llm import decontam, language, mixing, simhash, suffix_array, token_count, toxicity
+from gleaner.llm import decontam, language, lattice, mixing, simhash, suffix_array, token_count, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_spans(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@query("op6_lattice_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(_read(spark, sf_dir, "embeddings"))
