@@ -138,11 +138,19 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _sparse(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, values) of each row."""
+    return [(np.flatnonzero(r).astype(np.int32), r[r != 0]) for r in x]
+
+
+def _dot(x: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return np.stack([v @ weights[i] for i, v in x]) + bias if x else np.zeros((0, len(bias)))
+
+
 def train_ftrl(
-    x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-3
+    x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, d: int, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-3
 ) -> tuple[np.ndarray, np.ndarray]:
     """Multinomial logistic regression by FTRL-proximal, one row at a time; (weights, bias)."""
-    d = x.shape[1]
     z, n = np.zeros((d + 1, classes)), np.zeros((d + 1, classes))
     order = np.random.default_rng(7)
 
@@ -153,8 +161,8 @@ def train_ftrl(
 
     for _ in range(epochs):
         for i in order.permutation(len(x)):
-            rows = np.append(np.flatnonzero(x[i]), d)
-            v = np.append(x[i][rows[:-1]], 1.0)
+            rows = np.append(x[i][0], d)
+            v = np.append(x[i][1], 1.0)
             w = weights(rows)
             p = v @ w
             p = np.exp(p - p.max())
@@ -216,11 +224,11 @@ def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, seed: int
         size = int(rng.integers(1, 9))
         at = int(rng.integers(0, max(1, len(words) - size + 1)))
         texts.append(f" {' '.join(words[at : at + size])} ")
-    x = np.concatenate([_tfidf(term_counts(texts[i : i + 64], buckets), idf) for i in range(0, len(texts), 64)])
+    x = [r for i in range(0, len(texts), 64) for r in _sparse(_tfidf(term_counts(texts[i : i + 64], buckets), idf))]
     held = np.arange(len(x)) % len(rows) % 10 == 9
-    weights, bias = train_ftrl(x[~held], y[~held], len(languages))
+    weights, bias = train_ftrl([x[i] for i in np.flatnonzero(~held)], y[~held], len(languages), buckets)
     model = Model(languages, idf, weights, bias)
-    model.temperature = fit_temperature(x[held] @ weights + bias, y[held])
+    model.temperature = fit_temperature(_dot([x[i] for i in np.flatnonzero(held)], weights, bias), y[held])
     return model
 
 
