@@ -1,5 +1,6 @@
 """Every query of the engine's own operators."""
 
+from gleaner.plans import retrieval
 from gleaner.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "retrieval"]
