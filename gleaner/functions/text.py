@@ -9,6 +9,11 @@ TOKEN = r"\p{N}+|\p{L}[\p{L}\p{N}]*"
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
 
 
+def bind(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once, also where ``f`` uses it in a lambda."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def tokenize(text: Column) -> Column:
     """Runs of digits, or of letters and digits led by a letter; lower case, two characters at least."""
     runs = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
@@ -26,9 +31,9 @@ def word_count(text: Column) -> Column:
 
 def shingles(text: Column, size: int = 3) -> Column:
     """Overlapping runs of ``size`` words joined by a blank; the words themselves where there are fewer."""
-    w = F.regexp_extract_all(F.lower(text), F.lit("[a-zäöüß0-9]+"), F.lit(0))
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
-    return F.when(F.size(w) < size, w).otherwise(runs)
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-zäöüß0-9]+"), F.lit(0))
+    return bind(words, lambda w: F.when(F.size(w) < size, w).otherwise(runs(w)))
 
 
 def page_snippet(description: Column, h1: Column, text: Column, limit: int = 700) -> Column:

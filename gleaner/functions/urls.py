@@ -7,6 +7,7 @@ from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gleaner.config import LinkGate, LinkSkip
 
@@ -96,7 +97,7 @@ def _canonical(raw: str | None, base: str | None) -> str | None:
     return urlunsplit((u.scheme, u.netloc.lower(), path if path == "/" else path.rstrip("/"), "", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_url(raw: pd.Series, base: pd.Series) -> pd.Series:
     """Canonical form of a link found on ``base``, NULL where it has none."""
     return pd.Series([_canonical(r, b) for r, b in zip(raw, base)], dtype=object)
@@ -116,7 +117,7 @@ def _normalized(url: str | None) -> str | None:
     return urlunsplit((scheme, netloc, path if path == "/" else path.rstrip("/"), query, ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized_url(url: pd.Series) -> pd.Series:
     """The key of a search result: default scheme and ports dropped, query sorted, fragment gone."""
     return pd.Series([_normalized(u) for u in url], dtype=object)
