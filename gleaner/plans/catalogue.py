@@ -1,6 +1,6 @@
 """Every query of the engine's own operators."""
 
-from gleaner.plans import links, retrieval
+from gleaner.plans import labels, links, retrieval
 from gleaner.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "links", "retrieval"]
+__all__ = ["ORACLES", "QUERIES", "labels", "links", "retrieval"]
