@@ -168,6 +168,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BROADCAST_IDS = 1_000_000
+
+
+def small_side(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """``ids``, computed once and marked for broadcast if it holds at most ``limit`` rows; beyond that the join shuffles."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= limit else ids
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): (node, root), root the least node.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Scan, mix, scans, without_number
+from gleaner.llm.common import Scan, mix, scans, small_side, without_number
 
 # 1 compares, 0 is ignored; neither mask is a shift of another.
 MASKS = ("110100110101", "101011001011", "111001011001")
@@ -148,5 +148,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """``docs`` without the contaminated ones; rows with a NULL doc_id stay."""
-    hit = overlaps(docs, benchmark, **params).select("doc_id").distinct()
+    hit = small_side(overlaps(docs, benchmark, **params).select("doc_id").distinct())
     return docs.where("doc_id is not null").join(hit, "doc_id", "left_anti").select(*docs.columns).unionByName(without_number(docs))
