@@ -66,7 +66,7 @@ def flag(name: str, on: Column) -> Column:
 def bucket(value: Column, step: float) -> Column:
     """Rounded half to even to a multiple of ``step``, two decimals; 'missing' for NULL."""
     v = F.bround(value.cast("double") / F.lit(step), 0) * F.lit(step)
-    return F.coalesce(F.format_string("%.2f", v), F.lit("missing"))
+    return F.when(value.isNull(), "missing").otherwise(F.format_string("%.2f", v))
 
 
 def optional_int(value: Column, zero_is_missing: bool = True) -> Column:

@@ -114,7 +114,7 @@ def rate(results: DataFrame, ratings: DataFrame, now: Column | None = None) -> D
 def page_candidates(rows: DataFrame, query: str, zero_is_missing: bool = True) -> DataFrame:
     """Imported page rows, typed; rows without a url go, the rank falls back to the row's place."""
     c = F.col
-    placed = rows.withColumn("_n", F.monotonically_increasing_id() + 1)
+    placed = rows.withColumn("_n", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long"))
     return placed.where("trim(coalesce(url, '')) <> ''").select(
         F.coalesce(F.nullif(F.trim(c("query")), F.lit("")), F.lit(query)).alias("query"),
         F.trim(c("url")).alias("url"),
