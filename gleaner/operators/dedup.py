@@ -19,10 +19,18 @@ DISTANCE = 3
 _WORDS = re.compile("[a-zäöüß0-9]+")
 
 
-def _print_of(body: str | None) -> int:
+def _blake(feature: bytes) -> bytes:
+    return hashlib.blake2b(feature, digest_size=8).digest()
+
+
+def _md5(feature: bytes) -> bytes:
+    return hashlib.md5(feature, usedforsecurity=False).digest()[:8]
+
+
+def _print_of(body: str | None, digest=_blake) -> int:
     words = _WORDS.findall((body or "").lower())
     features = words if len(words) < 3 else map(" ".join, zip(words, words[1:], words[2:]))
-    digests = [hashlib.blake2b(f.encode(), digest_size=8).digest() for f in features]
+    digests = [digest(f.encode()) for f in features]
     if not digests:
         return 0
     bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8), axis=1)
@@ -36,6 +44,12 @@ def fingerprint(body: pd.Series) -> pd.Series:
     return body.map(_print_of).astype("int64")
 
 
+@F.pandas_udf(LongType())
+def fingerprint_md5(body: pd.Series) -> pd.Series:
+    """The same with md5, which SQL engines have."""
+    return body.map(lambda b: _print_of(b, _md5)).astype("int64")
+
+
 def near_pairs(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b, distance), a < b: fingerprints (id, fp) that differ in at most 3 bits.
 

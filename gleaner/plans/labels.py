@@ -119,6 +119,17 @@ def simhash_fingerprint(spark, sf):
     return table(spark, sf, "documents").select("doc_id", dedup.fingerprint(F.col("text")).alias("fp"))
 
 
+ONES = lambda half: " + ".join(f"(CASE WHEN 2 * sum(({half} >> {k}) & 1) > count(*) THEN {1 << k} ELSE 0 END)" for k in range(32))
+
+
+@query("simhash_md5", f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zäöüß0-9]+') AS w FROM documents), s AS (SELECT doc_id, unnest(CASE WHEN len(w) < 3 THEN w ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS shingle FROM w),
+h AS (SELECT doc_id, ('0x' || substr(md5(shingle), 1, 8))::BIGINT AS hi, ('0x' || substr(md5(shingle), 9, 8))::BIGINT AS lo FROM s), f AS (SELECT doc_id, ({ONES('hi')})::BIGINT AS high, ({ONES('lo')})::BIGINT AS low FROM h GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(high, 0) AS high, coalesce(low, 0) AS low FROM documents LEFT JOIN f ON documents.doc_id = f.doc_id""")
+def simhash_md5(spark, sf):
+    fp = table(spark, sf, "documents").select("doc_id", dedup.fingerprint_md5(F.col("text")).alias("fp"))
+    return fp.select("doc_id", F.shiftrightunsigned("fp", 32).alias("high"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("low"))
+
+
 def _toy(spark, sf):
     """A 64-bit digest of the text's first 40 characters with up to two low bits of the id flipped: near pairs for SQL to find."""
     h = F.conv(F.substring(F.md5(F.substring("text", 1, 40)), 1, 15), 16, 10).cast("long")
