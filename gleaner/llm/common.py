@@ -8,6 +8,9 @@ without regard to case for ASCII and Latin-1 letters.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -100,11 +103,13 @@ def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Itera
         texts = texts.combine_chunks()
     if isinstance(texts, pa.ChunkedArray):
         texts = pa.concat_arrays(texts.chunks)
-    texts = texts.cast(pa.large_string()).fill_null("")
+    if texts.null_count:
+        texts = texts.fill_null("")
     n = len(texts)
     if not n:
         return
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    wide = pa.types.is_large_string(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
     buf = texts.buffers()[2]
     data = np.frombuffer(buf, np.uint8) if buf is not None else np.zeros(0, np.uint8)
     at = 0
@@ -120,6 +125,24 @@ def scans(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, Scan]]:
         yield at, end, Scan(data, base)
 
 
+def lean(run):
+    """``run`` for mapInArrow, giving back at its end what its worker no longer uses.
+
+    Workers are reused: without it the peak of one stage stays as the floor of the next.
+    """
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def by_group(batches: Iterable[pa.RecordBatch], column: str, target_rows: int = 1 << 18) -> Iterator[pa.Table]:
     """Regroup a partition sorted by ``column`` into tables that hold whole groups."""
     held: list[pa.RecordBatch] = []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Scan, mix, scans, small_side, without_number
+from gleaner.llm.common import lean, mix, Scan, scans, small_side, without_number
 
 # 1 compares, 0 is ignored; neither mask is a shift of another.
 MASKS = ("110100110101", "101011001011", "111001011001")
@@ -128,9 +128,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
     """(doc_id, item_id, share): the verified overlaps, one row a pair."""
     spark = docs.sparkSession
     reach = max(1, min_words - 1)
-    items = benchmark.where("item_id is not null").select("item_id", "text").mapInArrow(_hit_batches("item_id", reach, None), _schema("item_id"))
+    items = benchmark.where("item_id is not null").select("item_id", "text").mapInArrow(lean(_hit_batches("item_id", reach, None)), _schema("item_id"))
     bits = spark.sparkContext.broadcast(_bit_table(items))
-    places = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_hit_batches("doc_id", reach, bits), _schema("doc_id"))
+    places = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(_hit_batches("doc_id", reach, bits)), _schema("doc_id"))
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,7 +143,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
             yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(keep), b.column("item_id").filter(keep), pa.array(share).filter(keep)], names=["doc_id", "item_id", "share"])
 
     hits = places.join(items, "seed").select("doc_id", "doc_id_row", "item_id", "item_id_words", "item_id_row")
-    return hits.mapInArrow(verify, "doc_id long, item_id long, share double").groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+    return hits.mapInArrow(lean(verify), "doc_id long, item_id long, share double").groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:

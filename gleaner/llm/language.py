@@ -28,27 +28,29 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import mix
+from gleaner.llm.common import lean, mix
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 SAMPLE = 600
 MIN_CONFIDENCE = 0.4
-RUN_CHARS = 1 << 19
+RUN_CHARS = 1 << 18
+ROWS = 96
 
 
 def _runs(texts: pa.Array, limit: int = RUN_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """(first row, cleaned texts) in runs of about ``limit`` characters."""
-    clean = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
-    at, held, size = 0, [], 0
-    for i, t in enumerate(clean.to_pylist()):
-        held.append(f" {' '.join(t.split())} ")
-        size += len(held[-1])
-        if size >= limit or len(held) >= 256:
+    """(first row, cleaned texts) in runs of about ``limit`` characters and at most ROWS texts."""
+    for lo in range(0, len(texts), ROWS):
+        clean = pc.utf8_lower(texts.slice(lo, ROWS).fill_null(""))
+        at, held, size = lo, [], 0
+        for i, t in enumerate(clean.to_pylist(), lo):
+            held.append(f" {' '.join(t.split())} ")
+            size += len(held[-1])
+            if size >= limit:
+                yield at, held
+                at, held, size = i + 1, [], 0
+        if held:
             yield at, held
-            at, held, size = i + 1, [], 0
-    if held:
-        yield at, held
 
 
 def _gram_features(texts: list[str], orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -98,7 +100,7 @@ def document_frequencies(docs: DataFrame, buckets: int = BUCKETS) -> tuple[np.nd
         where = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(where, -1)), pa.array(np.append(df[where], n))], names=["feature", "df"])
 
-    rows = docs.select("text").mapInArrow(count, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).toArrow()
+    rows = docs.select("text").mapInArrow(lean(count), "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).toArrow()
     df, n = np.zeros(buckets, np.int64), 0
     for f, c in zip(rows["feature"].to_pylist(), rows["df"].to_pylist()):
         if f < 0:
@@ -245,7 +247,7 @@ def _scored(docs: DataFrame, model: Model, columns: list[str], emit: Callable) -
                 conf[at : at + len(texts)] = np.where(_has_letters(texts), p.max(axis=1), 0.0)
             yield emit(b, best, conf)
 
-    return docs.select(*columns).mapInArrow(run, emit.schema)
+    return docs.select(*columns).mapInArrow(lean(run), emit.schema)
 
 
 def identify(docs: DataFrame, label: str = "lang", min_confidence: float = MIN_CONFIDENCE, **training) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Scan, by_group, mix, one_each, scans, without_number
+from gleaner.llm.common import by_group, lean, mix, one_each, Scan, scans, without_number
 
 MIN_WORDS = 50
 GRAM = 30
@@ -300,18 +300,18 @@ def word_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) ->
     """(doc_id, spans) of unique ``docs``: the words [s, e) around each anchor that an earlier factor covers."""
     texts = docs.select("doc_id", "text")
     found = (
-        texts.mapInArrow(_anchor_batches(min_words, gram), "anchor long, doc_id long, at int")
+        texts.mapInArrow(lean(_anchor_batches(min_words, gram)), "anchor long, doc_id long, at int")
         .repartition("anchor")
         .sortWithinPartitions("anchor")
-        .mapInArrow(_repeated, "doc_id long, at int")
+        .mapInArrow(lean(_repeated), "doc_id long, at int")
     )
     marks = found.groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
     covered = (
         texts.join(marks, "doc_id")
-        .mapInArrow(_context_batches(min_words, gram), "anchor long, doc_id long, at int, before binary, after binary")
+        .mapInArrow(lean(_context_batches(min_words, gram)), "anchor long, doc_id long, at int, before binary, after binary")
         .repartition("anchor")
         .sortWithinPartitions("anchor")
-        .mapInArrow(_cover_batches(min_words, gram), "doc_id long, s int, e int")
+        .mapInArrow(lean(_cover_batches(min_words, gram)), "doc_id long, s int, e int")
     )
     return covered.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
@@ -369,7 +369,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> Da
     """Documents that hold later copies: doc_id, text without them, removed_words, removed byte spans."""
     unique = one_each(docs)
     hit = unique.select("doc_id", "text").join(word_spans(unique, min_words, gram), "doc_id")
-    return hit.mapInArrow(_cut_batches, _CUT)
+    return hit.mapInArrow(lean(_cut_batches), _CUT)
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
@@ -382,7 +382,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM
     named = unique.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest")) if rest else unique
     joined = named.join(word_spans(unique, min_words, gram), "doc_id", "left")
     schema = _CUT + (f", _rest {named.schema['_rest'].dataType.simpleString()}" if rest else "")
-    done = joined.mapInArrow(_cut_batches, schema).where("removed_words = 0 or trim(text) <> ''")
+    done = joined.mapInArrow(lean(_cut_batches), schema).where("removed_words = 0 or trim(text) <> ''")
     text = {"doc_id": F.col("doc_id"), "text": F.col("text")}
     if "n_chars" in rest:
         text["n_chars"] = F.when(F.col("removed_words") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_rest.n_chars"))

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gleaner.llm.common import slices
+from gleaner.llm.common import lean, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _BLANK = np.zeros(256, bool)
@@ -152,4 +152,4 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             counts = pa.array(count_texts(text, _BUILT[vocabulary]), mask=text.is_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), counts], names=["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import scans
+from gleaner.llm.common import lean, scans
 
 SAMPLE = 6000
 MIN_CONTEXTS = 5
@@ -262,4 +262,4 @@ def toxic_spans(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thresh
                 [b.column("doc_id"), pa.array(score), pa.array(score >= threshold), pa.array(spans, kind)], names=["doc_id", "score", "toxic", "spans"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, toxic boolean, spans array<struct<start:int,end:int>>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double, toxic boolean, spans array<struct<start:int,end:int>>")

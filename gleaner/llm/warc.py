@@ -28,7 +28,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut
+from gleaner.llm.common import cut, lean
 
 BLOCK = 4 << 20
 HEAD = 1 << 16
@@ -185,7 +185,7 @@ def read_warc(spark: SparkSession, folder: str, block: int = BLOCK, glob: str =
     blocks = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(block).cast("long"))).alias("at"))
     tasks = max(1, files.agg(F.sum(F.ceil(F.col("length") / block))).first()[0] or 1)
     tasks = min(int(tasks), 20_000)
-    found = cut(blocks.repartition(tasks).mapInArrow(_candidate_batches(block), "path string, block long, start long, body long, follow long, leaves long"))
+    found = cut(blocks.repartition(tasks).mapInArrow(lean(_candidate_batches(block)), "path string, block long, start long, body long, follow long, leaves long"))
     entries = reachable(found).withColumn("entry", F.lit(True))
     marked = found.join(entries, ["path", "start"], "left").select("path", "block", "start", "body", "follow", F.coalesce("entry", F.lit(False)).alias("entry"))
-    return marked.repartition(tasks, "path", "block").sortWithinPartitions("path", "block", "start").mapInArrow(_payload_batches, _RECORD)
+    return marked.repartition(tasks, "path", "block").sortWithinPartitions("path", "block", "start").mapInArrow(lean(_payload_batches), _RECORD)
