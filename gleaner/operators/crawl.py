@@ -87,13 +87,14 @@ def evaluated(got: DataFrame, saved: DataFrame, page_score: Callable[[], Column]
     rows = got.drop("html").join(parsed, got["url"] == parsed["u"]).drop("u").withColumn("fp", dedup.fingerprint(F.col("text")))
     judged = pages.judged(rows, page_score(), s.topic, s.gate)
     bad = F.when(~F.col("status_code").between(200, 299), "bad_status").when(~F.coalesce(F.col("content_type").ilike("text/html%"), F.lit(True)), "non_html").when(F.trim("text") == "", "empty_text")
-    judged = judged.withColumn("bad", bad).withColumn("number", F.row_number().over(Window.orderBy("priority", "url"))).checkpoint()
-    # duplicates: first of the pages of earlier rounds, then in this round's order
-    old = saved.select((F.row_number().over(Window.orderBy("round", "url")) - F.lit(1 << 40)).alias("id"), "fp")
-    fresh = judged.where("bad is null and exclusion_reason is null").select(F.col("number").cast("long").alias("id"), "fp")
-    copies = dedup.greedy_keep(old.unionByName(fresh)).where("not kept and id > 0").select(F.col("id").alias("number"), F.lit("duplicate_text").alias("copy"))
+    judged = judged.withColumn("bad", bad).withColumn("order", F.struct(F.lit(number).alias("round"), F.col("priority").cast("double").alias("priority"), F.col("url").alias("at"))).checkpoint()
+    # duplicates: the pages of earlier rounds come first, then those of this one in its order
+    old = saved.select(F.struct("round", F.lit(0.0).alias("priority"), F.col("url").alias("at")).alias("id"), "fp")
+    fresh = judged.where("bad is null and exclusion_reason is null").select(F.col("order").alias("id"), "fp")
+    kept = dedup.greedy_keep(old.unionByName(fresh)).where("not kept").where(F.col("id.round") == number)
+    copies = kept.select(F.col("id").alias("order"), F.lit("duplicate_text").alias("copy"))
     reason = F.coalesce("bad", "exclusion_reason", "copy")
-    out = judged.join(copies, "number", "left").withColumn("exclusion_reason", reason).withColumn("round", F.lit(number))
+    out = judged.join(copies, "order", "left").drop("order").withColumn("exclusion_reason", reason).withColumn("round", F.lit(number))
     return out.withColumn("follow", F.col("bad").isNull() & F.col("copy").isNull())
 
 

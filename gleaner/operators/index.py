@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.config import Bm25
@@ -38,11 +38,12 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, p: Bm25 = Bm25()) -> DataFrame:
     """(term, doc, tf, score, positions): what a search reads.
 
-    The term's frequency is a window over the rows that are grouped by term
-    anyway, so the index costs one shuffle by document and one by term.
+    Document frequencies are aggregated map-side and joined back, so a term that
+    every document holds is split by the adaptive skew join and no task sees all
+    of its rows; the grouping by document and term is shared by both sides.
     """
-    tf = term_frequencies(docs).withColumn("df", F.count("*").over(Window.partitionBy("term")))
-    scored = tf.crossJoin(F.broadcast(corpus_stats(docs)))
+    tf = term_frequencies(docs)
+    scored = tf.join(document_frequencies(tf), "term").crossJoin(F.broadcast(corpus_stats(docs)))
     score = scoring.bm25(F.col("tf"), F.col("length"), F.col("average"), scoring.bm25_idf(F.col("n"), F.col("df")), p)
     return scored.select("term", "doc", "tf", score.alias("score"), "positions")
 
