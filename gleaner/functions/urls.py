@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from gleaner.config import LinkGate, LinkSkip
+from gleaner.functions.text import bind
 
 
 def part(url: Column, name: str) -> Column:
@@ -62,18 +64,16 @@ def url_family(url: Column, languages: tuple[str, ...] = LinkGate().languages) -
     return F.concat_ws("|", host_of(url), first, F.when(first.isin(*languages), second).otherwise(""))
 
 
+def _any(words: tuple[str, ...]) -> str:
+    return "(" + "|".join(re.escape(w) for w in words) + ")" if words else "(?!)"
+
+
 def is_skippable(url: Column, skip: LinkSkip = LinkSkip()) -> Column:
     """Blocked host, resource suffix, foreign first segment or a skip word in the path."""
-    host, path = host_of(url), path_of(url)
-    blocked = host.isin(*skip.hosts)
-    for s in skip.host_suffixes:
-        blocked = blocked | host.endswith(s)
-    resource = F.lit(False)
-    for s in skip.suffixes:
-        resource = resource | F.lower(url).endswith(s)
-    language = F.regexp_extract(path, r"^/*([^/_\-]*)", 1).isin(*skip.languages)
-    words = F.regexp_extract_all(path, F.lit("[a-z]+"), F.lit(0))
-    return blocked | resource | language | F.arrays_overlap(words, F.array(*map(F.lit, skip.path_words)))
+    blocked = bind(host_of(url), lambda h: h.isin(*skip.hosts) | h.rlike(_any(skip.host_suffixes) + "$"))
+    resource = F.lower(url).rlike(_any(skip.suffixes) + "$")
+    in_path = f"^/*{_any(skip.languages)}([/_-]|$)|(?<![a-z]){_any(skip.path_words)}(?![a-z])"
+    return blocked | resource | path_of(url).rlike(in_path)
 
 
 def canonical_absolute(url: Column) -> Column:
