@@ -34,11 +34,17 @@ def host(url: Column) -> Column:
 
 def patterns(url: Column) -> Column:
     """Every pattern that covers a url: its host, the parent domains, and the host with each leading path."""
-    labels = F.split(host(url), r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     segments = F.filter(F.split(F.regexp_extract(F.lower(url), PATH, 1), "/"), lambda s: s != "")
-    paths = F.transform(segments, lambda s, i: F.concat(host(url), F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i + 1), "/")))
-    return F.when(host(url) != "", F.array_distinct(F.concat(domains, paths)))
+
+    def all_of(v: Column) -> Column:
+        labels = F.split(v["host"], r"\.")
+        domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+        paths = F.transform(v["path"], lambda s, i: F.concat(v["host"], F.lit("/"), F.array_join(F.slice(v["path"], F.lit(1), i + 1), "/")))
+        return F.array_distinct(F.concat(domains, paths))
+
+    # a one-element array, so that host and path are taken once and not for every pattern
+    parts = F.array(F.struct(host(url).alias("host"), segments.alias("path")))
+    return F.when(host(url) != "", F.element_at(F.transform(parts, all_of), 1))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
