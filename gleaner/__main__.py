@@ -13,29 +13,23 @@ from gleaner.operators import html, index, report, search
 from gleaner.sources import readers
 
 
+INDEX = (("-i", "--index"), {"required": True})
+COMMANDS = {
+    "index": ((("--pages",), {"required": True, "help": "a Parquet table (url, html) or a folder of HTML files"}), (("-o", "--output"), {"required": True})),
+    "search": (INDEX, (("-q", "--query"), {"required": True}), (("-t", "--top-n"), {"default": 10, "type": int}), (("-c", "--context-size"), {"default": 20, "type": int})),
+    "batch": (INDEX, (("-b", "--batch"), {"required": True}), (("-o", "--output"), {"required": True}), (("-t", "--top-n"), {"default": 100, "type": int})),
+    "report": ((("--crawl",), {"required": True, "help": "folder of a written crawl state"}), (("--json",), {"action": "store_true"})),
+    "serve": (INDEX, (("--labels",), {}), (("--port",), {"default": 8000, "type": int})),
+}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="gleaner")
     sub = p.add_subparsers(dest="command", required=True)
-    c = sub.add_parser("index", help="build an index from a Parquet table of pages (url, html) or a folder of HTML files")
-    c.add_argument("--pages", required=True)
-    c.add_argument("-o", "--output", required=True)
-    c = sub.add_parser("search")
-    c.add_argument("-i", "--index", required=True)
-    c.add_argument("-q", "--query", required=True)
-    c.add_argument("-t", "--top-n", type=int, default=10)
-    c.add_argument("-c", "--context-size", type=int, default=20)
-    c = sub.add_parser("batch")
-    c.add_argument("-i", "--index", required=True)
-    c.add_argument("-b", "--batch", required=True)
-    c.add_argument("-o", "--output", required=True)
-    c.add_argument("-t", "--top-n", type=int, default=100)
-    c = sub.add_parser("report")
-    c.add_argument("--crawl", required=True, help="folder of a written crawl state")
-    c.add_argument("--json", action="store_true")
-    c = sub.add_parser("serve")
-    c.add_argument("-i", "--index", required=True)
-    c.add_argument("--labels")
-    c.add_argument("--port", type=int, default=8000)
+    for name, options in COMMANDS.items():
+        command = sub.add_parser(name)
+        for flags, how in options:
+            command.add_argument(*flags, **how)
     return p
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import dataclasses
+
+dataclass = dataclasses.dataclass
 
 
 @dataclass(frozen=True)
@@ -98,5 +100,5 @@ class Noise:
         r"|^kunsthalle-t[üu]e?bingen\.de$|^t[üu]e?bingenresearchcampus\.com$"
     )
     english_url: str = r"/en|english"
-    english_hosts: tuple[str, ...] = ("bbc.com", "en.wikipedia.org", "en.wikivoyage.org")
+    english_hosts: tuple[str, ...] = ("en.wikivoyage.org", "en.wikipedia.org", "bbc.com")
     sources: tuple[str, ...] = ("crawler_link", "crawler_linkverdict", "curated_link")

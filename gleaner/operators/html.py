@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset(("script", "style", "noscript", "template"))
-CHUNKS = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th caption figcaption blockquote pre".split())
+RAW = frozenset("template noscript style script".split())
+CHUNKS = frozenset("pre blockquote figcaption caption th td dd dt li p".split()) | {f"h{k}" for k in range(1, 7)}
 HEAD_ONLY = frozenset("title meta link base style script noscript template".split())
 #: An opening tag ends the nearest open element of the set, unless one of the stops is nearer.
 IMPLIED = {
@@ -26,7 +26,7 @@ IMPLIED = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form header hr h6 h5 h4 h3 h2 h1 main menu nav ol p pre section table ul".split())
 
 DROP_TAGS = frozenset("nav aside form dialog button".split())
 DROP_CLASSES = frozenset(

@@ -74,7 +74,8 @@ def link_queue(links: DataFrame, limit: int, unlabeled_only: bool = True, noise:
     best = [F.col("rating").isNotNull(), F.col("target_uncertainty"), *last]
     for name, key in (("host_round", "target_host"), ("url_round", "target_url"), ("score_band_round", "score_band")):
         rows = rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*best)))
-    order = ["source_priority", "navigation_noise", "candidate_priority", "linkverdict_band", "url_round", "host_round", "score_band_round", "rated_for_host", "link_uncertainty", "score_band", "target_uncertainty"]
+    curated, rounds, doubts = ["source_priority", "navigation_noise", "candidate_priority"], [f"{r}_round" for r in ("url", "host", "score_band")], ["link_uncertainty", "score_band", "target_uncertainty"]
+    order = [*curated, "linkverdict_band", *rounds, "rated_for_host", *doubts]
     queue = rows.orderBy(*order, *last).limit(max(1, min(limit, MAX_LIMIT)))
     return queue.withColumn("place", F.row_number().over(Window.orderBy(*order, *last)))
 
@@ -155,7 +156,7 @@ def page_export(scored: DataFrame) -> DataFrame:
 
 def link_export(links: DataFrame) -> DataFrame:
     """Links for relabeling, the most uncertain first."""
-    return links.orderBy(F.abs(F.coalesce("linkverdict_score", F.lit(0.5)) - 0.5), "target_url", "parent_url", "id")
+    return links.orderBy(F.coalesce(F.abs(F.col("linkverdict_score") - 0.5), F.lit(0.0)), "target_url", "parent_url", "id")
 
 
 def labelled(results: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-THRESHOLDS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+THRESHOLDS = tuple(k / 10 for k in range(2, 10))
 
 
 def _share(a: Column, b: Column) -> Column:

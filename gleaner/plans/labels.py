@@ -33,8 +33,8 @@ ours AS (SELECT * FROM lr WHERE source <> 'other'), rated AS (SELECT target_host
 cand AS (SELECT ours.*, rated_for_host,
  (target_url = parent_url OR coalesce(rejection_reason = 'seen_url', false) OR anchor = '' OR regexp_matches(target_host, '{NOISE.hosts}') OR (regexp_matches(target_host, '{NOISE.wiki}') AND target_host NOT IN {NOISE.wiki_kept}) OR regexp_matches(lower(target_url), '{NOISE.url}') OR (contains(lower(target_url), '/search') AND target_host LIKE 'google.%') OR regexp_matches(lower(anchor), '{NOISE.anchor}')) AS noise,
  CASE WHEN source = 'curated_link' THEN 0 WHEN (regexp_matches(lower(target_url), '{NOISE.topic_url}') OR regexp_matches(lower(anchor), '{NOISE.topic_anchor}') OR regexp_matches(target_host, '{NOISE.topic_hosts}')) AND (regexp_matches(lower(target_url), '{NOISE.english_url}') OR regexp_matches(lower(anchor), '[a-z]') OR target_host IN {NOISE.english_hosts}) THEN 0 WHEN selected AND should_enqueue THEN 1 WHEN should_enqueue THEN 2 ELSE 3 END AS priority,
- CASE WHEN raw_score IS NULL THEN 4 WHEN raw_score >= 8 THEN 0 WHEN raw_score >= 4 THEN 1 WHEN raw_score >= 2 THEN 2 ELSE 3 END AS band,
- CASE WHEN linkverdict_score IS NULL THEN 3 WHEN linkverdict_score >= 0.75 THEN 0 WHEN linkverdict_score >= 0.4 THEN 1 ELSE 2 END AS vband,
+ CASE WHEN raw_score IS NOT NULL THEN len(list_filter([2, 4, 8], lambda b: b > raw_score)) ELSE 4 END AS band,
+ CASE WHEN linkverdict_score IS NOT NULL THEN len(list_filter([0.4, 0.75], lambda b: b > linkverdict_score)) ELSE 3 END AS vband,
  coalesce(abs(target_pageverdict_score - 0.5), 1.0) AS tu, coalesce(abs(linkverdict_score - 0.5), 1.0) AS lu FROM ours JOIN rated USING (target_host) WHERE rating IS NULL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY target_host ORDER BY tu, selected DESC, should_enqueue DESC, raw_score DESC, id) AS hr, row_number() OVER (PARTITION BY target_url ORDER BY tu, selected DESC, should_enqueue DESC, raw_score DESC, id) AS ur, row_number() OVER (PARTITION BY band ORDER BY tu, selected DESC, should_enqueue DESC, raw_score DESC, id) AS br FROM cand),
 placed AS (SELECT *, row_number() OVER (ORDER BY (source <> 'curated_link'), noise, priority, vband, ur, hr, br, rated_for_host, lu, band, tu, selected DESC, should_enqueue DESC, raw_score DESC, id) AS place FROM ranked)"""
@@ -51,12 +51,12 @@ def link_label_stats(spark, sf):
     return labeling.label_stats(_links(spark, sf))
 
 
-@query("link_relabel_export", f"WITH {LINKS} SELECT id, linkverdict_score, row_number() OVER (ORDER BY abs(coalesce(linkverdict_score, 0.5) - 0.5), target_url, parent_url, id)::INTEGER AS rank FROM lr ORDER BY rank LIMIT 500")
+@query("link_relabel_export", f"WITH {LINKS} SELECT id, linkverdict_score, row_number() OVER (ORDER BY coalesce(abs(linkverdict_score - 0.5), 0), target_url, parent_url, id)::INTEGER AS rank FROM lr ORDER BY rank LIMIT 500")
 def link_relabel_export(spark, sf):
     from pyspark.sql import Window
 
     e = labeling.link_export(_links(spark, sf)).limit(500)
-    w = Window.orderBy(F.abs(F.coalesce("linkverdict_score", F.lit(0.5)) - 0.5), "target_url", "parent_url", "id")
+    w = Window.orderBy(F.coalesce(F.abs(F.col("linkverdict_score") - 0.5), F.lit(0.0)), "target_url", "parent_url", "id")
     return e.select("id", "linkverdict_score", F.row_number().over(w).alias("rank"))
 
 
@@ -170,7 +170,7 @@ def _predicted(spark, sf):
     return table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("label"), p.alias("probability"))
 
 
-SWEEP = f"""{PREDICTED}, t AS (SELECT unnest([0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold),
+SWEEP = f"""{PREDICTED}, t AS (SELECT unnest(range(2, 10)) / 10 AS threshold),
 c AS (SELECT threshold, count(*) FILTER (probability >= threshold AND label = 'positive') AS tp, count(*) FILTER (probability >= threshold AND label <> 'positive') AS fp, count(*) FILTER (probability < threshold AND label = 'positive') AS fn, count(*) FILTER (probability < threshold AND label <> 'positive') AS tn FROM t, pred GROUP BY threshold),
 m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM c), f AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f1 FROM m)"""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 import sqlite3
 import tomllib
 from urllib.parse import urlsplit
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCAN = ["id", "title", "url", "host", "path", "status_code", "content_type", "crawl_depth", "language", "relevance", "token_count", "fetched_at"]
+SCAN = "url id path host title language relevance token_count status_code content_type fetched_at crawl_depth".split()
 
 
 def scan(table: DataFrame, columns: list[str] = SCAN, where=None) -> DataFrame:
@@ -50,12 +51,10 @@ def query_batch(spark: SparkSession, path: str) -> DataFrame:
         for n, row in enumerate(csv.reader(f, delimiter="\t"), 1):
             if not any(c.strip() for c in row):
                 continue
-            if len(row) != 2:
-                raise ValueError(f"line {n}: two fields are needed, not {len(row)}")
-            try:
-                found[int(row[0].strip())] = row[1].strip()
-            except ValueError:
-                raise ValueError(f"line {n}: {row[0]!r} is no whole number") from None
+            fields = [c.strip() for c in row]
+            if not (len(fields) == 2 and re.fullmatch(r"[+-]?\d+", fields[0])):
+                raise ValueError(f"line {n}: a whole number and a query are needed, two fields")
+            found[int(fields[0])] = fields[1]
     return spark.createDataFrame(sorted(found.items()), "query_id long, query string")
 
 

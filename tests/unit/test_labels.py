@@ -44,7 +44,7 @@ def predicted(spark):
 def test_thresholds(spark):
     (m,) = metrics.threshold_metrics(predicted(spark), (0.5,)).collect()
     assert (m.support, m.predicted, m.precision, m.recall) == (2, 2, 1.0, 1.0)
-    rows = spark.createDataFrame([(0.5, 0.7, 0.9, 0.79), (0.7, 0.82, 0.6, 0.69), (0.8, 0.85, 0.6, 0.7)], "threshold double, precision double, recall double, f1 double")
+    rows = spark.createDataFrame([(0.8, 0.85, 0.6, 0.7), (0.5, 0.7, 0.9, 0.79), (0.7, 0.82, 0.6, 0.69)], "threshold double, precision double, recall double, f1 double")
     assert metrics.select_threshold(rows).first().threshold == 0.8
     low = rows.withColumn("precision", F.col("precision") / 2)
     assert metrics.select_threshold(low).first().threshold == 0.8
@@ -89,7 +89,7 @@ def test_batch_file(spark, tmp_path):
 
 def test_seeds(spark, tmp_path):
     path = tmp_path / "s.toml"
-    path.write_text('[[sites]]\nurl = "https://a.org/"\n[[sites]]\nurl = "https://b.org/"\nround_robin_weight = 3\n')
+    path.write_text("".join(f"[[sites]]\nround_robin_weight = {w}\nurl = 'https://{h}.org/'\n" for h, w in (("a", 1), ("b", 3))))
     assert [r.round_robin_weight for r in readers.seeds(spark, str(path)).orderBy("url").collect()] == [1, 3]
     path.write_text('[[sites]]\nurl = "nothing"\n')
     assert readers.seeds(spark, str(path)).count() == 0 and readers.seeds(spark, str(tmp_path / "none")).count() == 0
@@ -98,8 +98,8 @@ def test_seeds(spark, tmp_path):
 def test_sqlite_source(spark, tmp_path):
     path = str(tmp_path / "p.db")
     con = sqlite3.connect(path)
-    con.execute("CREATE TABLE pages (id INTEGER PRIMARY KEY, url TEXT, content_type TEXT, path TEXT, relevance REAL)")
-    con.executemany("INSERT INTO pages VALUES (?, ?, ?, ?, ?)", [(i, f"u{i}", ["text/html; x", None, "image/png", "TEXT/HTML"][i % 4], f"f{i}.html", i / 2) for i in range(1, 41)])
+    con.execute("CREATE TABLE pages (relevance REAL, path TEXT, content_type TEXT, url TEXT, id INTEGER PRIMARY KEY)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?, ?, ?)", [(i / 2, f"f{i}.html", ["text/html; x", None, "image/png", "TEXT/HTML"][i % 4], f"u{i}", i) for i in range(1, 41)])
     con.commit()
     con.close()
     t = readers.sqlite_table(spark, path, "pages", 3)

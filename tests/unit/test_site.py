@@ -42,8 +42,8 @@ def test_page_gate(spark):
     got = pages.judged(d, F.col("s")).collect()
     assert [r.decision for r in got] == ["index_strong", "index_cautious"] + ["reject_follow"] * 4
     assert [r.exclusion_reason for r in got] == [None, None, "low_pageverdict_score", "off_topic", "non_english", "non_english"]
-    scores = spark.createDataFrame([(x,) for x in (0.0, 0.3, 0.59, 0.6, 0.7, 0.8, 0.9, 0.91, 1.0)], "s double").select(scoring.relevance(F.col("s")).alias("r")).collect()
-    assert [round(r.r, 4) for r in scores] == [0, 1.0, 1.9667, 3.0, 4.0, 6.0, 8.0, 8.2, 10]
+    scores = spark.createDataFrame([(x,) for x in (1.0, 0.91, 0.9, 0.8, 0.7, 0.6, 0.59, 0.3, 0.0)], "s double").select(scoring.relevance(F.col("s")).alias("r")).collect()
+    assert [round(r.r, 4) for r in scores] == [10, 8.2, 8.0, 6.0, 4.0, 3.0, 1.9667, 1.0, 0]
 
 
 def test_topic_spellings(spark):
@@ -105,7 +105,7 @@ def test_greedy_against_one_by_one(spark):
     "markup,want",
     [
         ("<title>t</title><p>one</p><div>two</div><li>three", "one three"),
-        ("<li><p>inner</p> outer</li>", "inner outer"),
+        ("<ul><li><p>deep</p> shallow</ul>", "deep shallow"),
         ("<blockquote><p>quoted</p></blockquote>", "quoted"),
         ("<p>a &amp; b&nbsp;c", "a & b c"),
         ("<table><tr><th>h<td>d</table><figcaption>f</figcaption>", "h d f"),
