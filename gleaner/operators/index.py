@@ -21,9 +21,9 @@ def positions(docs: DataFrame) -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
-    """(doc, length, term, tf, positions)."""
+    """(doc, length, term, tf, first, positions); a plan that leaves positions out keeps to hashed numbers."""
     grouped = positions(docs).groupBy("doc", "length", "term")
-    return grouped.agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+    return grouped.agg(F.count("*").alias("tf"), F.min("position").alias("first"), F.array_sort(F.collect_list("position")).alias("positions"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, p: Bm25 = Bm25()) -> DataFrame:
-    """(term, doc, tf, score, positions): what a search reads.
+    """(term, doc, tf, score, first, positions): what a search reads.
 
     Document frequencies are aggregated map-side and joined back, so a term that
     every document holds is split by the adaptive skew join and no task sees all
@@ -45,7 +45,7 @@ def postings(docs: DataFrame, p: Bm25 = Bm25()) -> DataFrame:
     tf = term_frequencies(docs)
     scored = tf.join(document_frequencies(tf), "term").crossJoin(F.broadcast(corpus_stats(docs)))
     score = scoring.bm25(F.col("tf"), F.col("length"), F.col("average"), scoring.bm25_idf(F.col("n"), F.col("df")), p)
-    return scored.select("term", "doc", "tf", score.alias("score"), "positions")
+    return scored.select("term", "doc", "tf", score.alias("score"), "first", "positions")
 
 
 def inverted(posts: DataFrame) -> DataFrame:

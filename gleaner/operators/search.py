@@ -15,7 +15,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def scores(posts: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc, score, first): every document that holds a term, its summed score and first hit."""
-    hits = posts.select("term", "doc", "score", F.array_min("positions").alias("at")).join(query_terms(queries), "term")
+    hits = posts.select("term", "doc", "score", F.col("first").alias("at")).join(query_terms(queries), "term")
     return hits.groupBy("query_id", "doc").agg(F.sum("score").alias("score"), F.min("at").alias("first"))
 
 

@@ -82,7 +82,7 @@ def tfidf_scores(spark, sf):
 @query("bm25_postings", f"WITH {POSTINGS} SELECT term, doc, tf, round(score, 6) AS score, len(positions)::INTEGER AS hits, positions[1]::INTEGER AS first FROM postings")
 def bm25_postings(spark, sf):
     p = index.postings(_docs(spark, sf))
-    return p.select("term", "doc", "tf", F.round("score", 6).alias("score"), F.size("positions").alias("hits"), F.array_min("positions").alias("first"))
+    return p.select("term", "doc", "tf", F.round("score", 6).alias("score"), F.size("positions").alias("hits"), "first")
 
 
 @query("inverted_index_nested", f"WITH {POSTINGS} SELECT term, count(*)::INTEGER AS docs, string_agg(doc || ':' || array_to_string(positions, ','), ' ' ORDER BY doc) AS postings FROM postings GROUP BY term")
