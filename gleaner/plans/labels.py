@@ -154,6 +154,33 @@ def greedy_dedup(spark, sf):
     return dedup.greedy_keep(_toy(spark, sf))
 
 
+def _prints(spark, sf):
+    """The fingerprint of every whole text."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), dedup.fingerprint_md5(F.col("text")).alias("fp"))
+
+
+PRINTS = f"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zäöüß0-9]+') AS w FROM documents), s AS (SELECT doc_id, unnest(CASE WHEN len(w) < 3 THEN w ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS shingle FROM w),
+h AS (SELECT doc_id, ('0x' || substr(md5(shingle), 1, 8))::BIGINT AS hi, ('0x' || substr(md5(shingle), 9, 8))::BIGINT AS lo FROM s), f AS (SELECT doc_id, ({ONES('hi')})::BIGINT AS high, ({ONES('lo')})::BIGINT AS low FROM h GROUP BY doc_id),
+prints AS MATERIALIZED (SELECT documents.doc_id AS id, coalesce(high, 0) AS high, coalesce(low, 0) AS low FROM documents LEFT JOIN f ON documents.doc_id = f.doc_id),
+near AS MATERIALIZED (SELECT x.id AS a, y.id AS b, (bit_count(xor(x.high, y.high)) + bit_count(xor(x.low, y.low)))::INTEGER AS distance FROM prints x JOIN prints y ON x.id < y.id AND bit_count(xor(x.high, y.high)) + bit_count(xor(x.low, y.low)) <= 3)"""
+
+
+@query("text_near_duplicate_pairs", f"WITH {PRINTS} SELECT a, b, distance FROM near")
+def text_near_duplicate_pairs(spark, sf):
+    """Pairs over the fingerprints of whole texts."""
+    return dedup.near_pairs(_prints(spark, sf))
+
+
+@query("text_greedy_dedup", f"""WITH RECURSIVE {PRINTS}, n AS MATERIALIZED (SELECT b AS id, list(a) AS earlier FROM near GROUP BY b), o AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS r FROM n),
+g AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS dropped UNION ALL
+ SELECT g.r + 1, CASE WHEN len(list_filter(n.earlier, lambda a: NOT list_contains(g.dropped, a))) > 0 THEN list_append(g.dropped, n.id) ELSE g.dropped END FROM g JOIN o ON o.r = g.r + 1 JOIN n ON n.id = o.id),
+d AS (SELECT unnest(dropped) AS id FROM (SELECT dropped FROM g ORDER BY r DESC LIMIT 1))
+SELECT prints.id, d.id IS NULL AS kept FROM prints LEFT JOIN d USING (id)""")
+def text_greedy_dedup(spark, sf):
+    """The first of near whole texts stays."""
+    return dedup.greedy_keep(_prints(spark, sf))
+
+
 @query("crawler_dedup")
 def crawler_dedup(spark, sf):
     prints = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), dedup.fingerprint(F.col("text")).alias("fp"))

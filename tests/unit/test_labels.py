@@ -126,3 +126,14 @@ def test_ingest_keeps_the_latest(spark, tmp_path):
     stream = spark.readStream.schema("url string, text string, fetched_at string").json(str(tmp_path / "in"))
     ingest.ingest(stream, str(tmp_path / "docs"), str(tmp_path / "cp")).awaitTermination(60)
     assert {r.url: r.length for r in spark.read.parquet(str(tmp_path / "docs")).collect()} == {"u": 3, "v": 0}
+
+
+def test_near_pairs_read_the_whole_text(spark, tmp_path):
+    from gleaner.plans import labels
+
+    body = [" ".join(f"w{(7 * k + k * k * s) % 997}" for k in range(3000)) for s in (1, 2, 3)]
+    opening = "the same opening of every page on this site, word for word "
+    texts = ["first " + body[0], "second " + body[0], opening + body[1], opening + body[2]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {(r.a, r.b) for r in labels.text_near_duplicate_pairs(spark, str(tmp_path)).collect()} == {(0, 1)}
+    assert {r.id for r in labels.text_greedy_dedup(spark, str(tmp_path)).where("kept").collect()} == {0, 2, 3}
