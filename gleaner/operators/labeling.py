@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.config import Noise
 from gleaner.functions import scoring, text, urls
 from gleaner.operators.pages import upsert
+from gleaner.plans.shared import checkpoint_folder
 
 MAX_LIMIT = 2000
 
@@ -159,6 +160,23 @@ def link_export(links: DataFrame) -> DataFrame:
     return links.orderBy(F.coalesce(F.abs(F.col("linkverdict_score") - 0.5), F.lit(0.0)), "target_url", "parent_url", "id")
 
 
+def ranked_export(links: DataFrame) -> DataFrame:
+    """All of ``link_export`` with its rank from 1.
+
+    Rows are sorted by ranges; a range counts on from the rows of those before it.
+    """
+    spark = links.sparkSession
+    checkpoint_folder(spark)
+    placed = link_export(links).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).checkpoint()
+    before, total = [], 0
+    for part, n in sorted(placed.groupBy("_part").count().collect()):
+        before.append((part, total))
+        total += n
+    starts = spark.createDataFrame(before, "_part long, _before long")
+    rank = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return placed.join(F.broadcast(starts), "_part").withColumn("rank", rank).drop("_at", "_part", "_before")
+
+
 def labelled(results: DataFrame) -> DataFrame:
     """Rows to train on: rated, not 3, labelled one way or the other."""
     return results.where("rating is not null and rating <> 3 and label in ('negative', 'positive')")

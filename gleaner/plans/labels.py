@@ -60,6 +60,12 @@ def link_relabel_export(spark, sf):
     return e.select("id", "linkverdict_score", F.row_number().over(w).alias("rank"))
 
 
+@query("link_relabel_export_all", f"WITH {LINKS} SELECT id, linkverdict_score, row_number() OVER (ORDER BY coalesce(abs(linkverdict_score - 0.5), 0), target_url, parent_url, id) AS rank FROM lr")
+def link_relabel_export_all(spark, sf):
+    """Every link, as the crawler's export has them."""
+    return labeling.ranked_export(_links(spark, sf)).select("id", "linkverdict_score", "rank")
+
+
 RESULTS = f"""results AS (SELECT d.doc_id AS id, source, {sql_share('d.doc_id::VARCHAR', 's')} AS pageverdict_score, CASE d.doc_id % 3 WHEN 0 THEN 'false_positive' ELSE 'index_strong' END AS pageverdict_decision, d.doc_id % 100 AS rank, CASE WHEN quality IS NULL THEN NULL WHEN quality = 1 THEN 4 + d.doc_id % 2 ELSE 1 + d.doc_id % 3 END AS rating
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 

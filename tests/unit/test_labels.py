@@ -137,3 +137,11 @@ def test_near_pairs_read_the_whole_text(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {(r.a, r.b) for r in labels.text_near_duplicate_pairs(spark, str(tmp_path)).collect()} == {(0, 1)}
     assert {r.id for r in labels.text_greedy_dedup(spark, str(tmp_path)).where("kept").collect()} == {0, 2, 3}
+
+
+def test_export_ranks_every_link(spark):
+    rows = [link(i, f"h{i % 7}.example", linkverdict_score=None if i % 9 == 0 else (i * 37 % 101) / 100) for i in range(1300)]
+    got = labeling.ranked_export(spark.createDataFrame(rows, LINK).repartition(5)).select("id", "rank").collect()
+    order = sorted(rows, key=lambda r: (abs(r[6] - 0.5) if r[6] is not None else 0.0, r[2], r[1], r[0]))
+    assert [r.id for r in sorted(got, key=lambda r: r.rank)] == [r[0] for r in order]
+    assert sorted(r.rank for r in got) == list(range(1, 1301))
