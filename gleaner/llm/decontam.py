@@ -8,11 +8,16 @@ of up to ``reach`` words on either side is verified: a document is contaminated
 when some window of ``min_words`` aligned words (the whole item, if it is
 shorter) that holds the hit agrees in at least ``min_share`` of its words.
 
+An item shorter than ``min_words`` must agree as a whole, so it is cut into one
+part more than it may have changed words: one of them is untouched wherever the
+item stands, and the parts are hashed as they are.  Items too short for any
+change are one part.  So every overlap of such an item is hit.
+
 The benchmark's hashes reach the tasks as a bit table of fixed size, which only
 thins out the positions; what it lets through is joined with the benchmark by
 hash, so that the benchmark may be of any size.
 
-Nulls, empties and ties: NULL and empty texts, items of fewer than ``SPAN``
+Nulls, empties and ties: NULL and empty texts, items without
 words and rows with a NULL doc_id or item_id match nothing.  Repeated rows give
 one result.  Extra columns are ignored.
 """
@@ -20,6 +25,7 @@ one result.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +60,39 @@ def seeds(s: Scan, mask: int) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(h[at])
 
 
+def parts(words: int, min_share: float) -> list[tuple[int, int]]:
+    """(start, length) of the parts of an item of so many words, one of which any overlap leaves untouched."""
+    pieces = min(words, int((1 - min_share) * words + 1e-9) + 1)
+    length = words // pieces
+    return [(k * words // pieces, length) for k in range(pieces)]
+
+
+def runs(s: Scan, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, hash) of every run of ``length`` words inside one text."""
+    m = len(s.hashes) - length + 1
+    if m <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = np.full(m, np.uint64(len(MASKS) + length))
+    for k in range(length):
+        h *= _STEP
+        h += s.hashes[k : k + m]
+    text = s.text_of()
+    at = np.flatnonzero(text[:m] == text[length - 1 :])
+    return at, mix(h[at])
+
+
+def _part_runs(s: Scan, length: int, min_words: int, min_share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those runs that are parts of items shorter than ``min_words``."""
+    i, h = runs(s, length)
+    o = np.searchsorted(s.first, i, "right") - 1
+    n = np.diff(s.first)
+    some = np.zeros(len(i), bool)
+    for words in np.unique(n[(n > 0) & (n < min_words)]):
+        starts = [a for a, size in parts(int(words), min_share) if size == length]
+        some |= (n[o] == words) & np.isin(i - s.first[o], starts)
+    return i[some], h[some]
+
+
 def _aligned(words: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, reach: int) -> np.ndarray:
     """Rows of words at - reach .. at + SPAN + reach - 1 within [lo, hi); 0 outside."""
     p = at[:, None] + np.arange(-reach, SPAN + reach)
@@ -71,15 +110,15 @@ def _rows(a: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(a))])
 
 
-def _hit_batches(id_name: str, reach: int, table: np.ndarray | None):
+def _hit_batches(id_name: str, reach: int, table: np.ndarray | None, lengths: list[int], min_words: int, min_share: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table if table is None or isinstance(table, np.ndarray) else table.value
         for b in batches:
             ids = b.column(id_name).to_numpy()
             for at, end, s in scans(b.column("text")):
                 words = _codes(s)
-                for mask in range(len(MASKS)):
-                    i, h = seeds(s, mask)
+                short = (runs(s, n) if bits is not None else _part_runs(s, n, min_words, min_share) for n in lengths)
+                for i, h in chain((seeds(s, mask) for mask in range(len(MASKS))), short):
                     if bits is not None:
                         slot = h >> np.uint64(64 - BITS)
                         some = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -95,6 +134,12 @@ def _hit_batches(id_name: str, reach: int, table: np.ndarray | None):
     return run
 
 
+def _sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for _, _, s in scans(b.column("text")):
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(s.first).astype(np.int32))], names=["n"])
+
+
 def _schema(id_name: str) -> str:
     return f"seed long, {id_name} long, {id_name}_at int, {id_name}_words int, {id_name}_row binary"
 
@@ -109,7 +154,10 @@ def _bit_table(hits: DataFrame) -> np.ndarray:
 
 
 def agreement(doc: np.ndarray, item: np.ndarray, item_words: np.ndarray, reach: int, min_words: int) -> np.ndarray:
-    """Greatest share of equal words over the windows of min(min_words, item) aligned words that hold the seed."""
+    """Greatest share of equal words over the windows of min(min_words, item) aligned words that hold the seed.
+
+    An item shorter than ``min_words`` is a window by itself, which holds its seed's first word.
+    """
     both = (doc != 0) & (item != 0)
     same = (doc == item) & both
     width = doc.shape[1]
@@ -118,7 +166,8 @@ def agreement(doc: np.ndarray, item: np.ndarray, item_words: np.ndarray, reach:
     best = np.zeros(len(doc))
     for size in np.unique(np.minimum(item_words, min_words)):
         rows = np.flatnonzero(np.minimum(item_words, min_words) == size)
-        for start in range(max(0, reach + SPAN - size), min(reach, width - size) + 1):
+        span = SPAN if size == min_words else 1
+        for start in range(max(0, reach + span - size), min(reach, width - size) + 1):
             full = inside[rows, start + size] - inside[rows, start] == size
             best[rows] = np.maximum(best[rows], np.where(full, (total[rows, start + size] - total[rows, start]) / size, 0))
     return best
@@ -128,9 +177,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
     """(doc_id, item_id, share): the verified overlaps, one row a pair."""
     spark = docs.sparkSession
     reach = max(1, min_words - 1)
-    items = benchmark.where("item_id is not null").select("item_id", "text").mapInArrow(lean(_hit_batches("item_id", reach, None)), _schema("item_id"))
+    named = benchmark.where("item_id is not null").select("item_id", "text")
+    sizes = [r.n for r in named.mapInArrow(lean(_sizes), "n int").where((F.col("n") > 0) & (F.col("n") < min_words)).distinct().collect()]
+    lengths = sorted({size for n in sizes for _, size in parts(n, min_share)})
+    items = named.mapInArrow(lean(_hit_batches("item_id", reach, None, lengths, min_words, min_share)), _schema("item_id"))
     bits = spark.sparkContext.broadcast(_bit_table(items))
-    places = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(_hit_batches("doc_id", reach, bits)), _schema("doc_id"))
+    places = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(_hit_batches("doc_id", reach, bits, lengths, min_words, min_share)), _schema("doc_id"))
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

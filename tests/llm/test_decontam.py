@@ -58,3 +58,22 @@ def test_odd_rows(spark):
 def test_empty_tables(spark):
     assert decontam.overlaps(docs(spark, []), bench(spark, ["x"])).count() == 0
     assert decontam.overlaps(docs(spark), bench(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_every_overlap_of_short_items(spark):
+    r = random.Random(8)
+    items, texts, truth = [], [], set()
+    for n in range(1, 20):
+        for most in range(int(n / 5 + 1e-9) + 1):
+            for k in range(4):
+                item = [f"i{len(items)}x{j}" for j in range(n)]
+                changed = set(r.sample(range(n), most))
+                for extra in (0, 1):
+                    out = [f"c{j}" if j in changed or extra and j == min(set(range(n)) - changed) else w for j, w in enumerate(item)]
+                    if not extra or most == int(n / 5 + 1e-9):
+                        if not extra:
+                            truth.add((len(texts), len(items)))
+                        texts.append(f"{words(25, len(texts))} {' '.join(out)} {words(25, 9000 + len(texts))}")
+                items.append(" ".join(item))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontam.overlaps(d, bench(spark, items)).collect()} == truth
