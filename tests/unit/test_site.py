@@ -152,3 +152,17 @@ def test_upsert(spark):
     new = spark.createDataFrame([("a", 9, "t9", "new", ), ("c", 3, "t3", "m")], "url string, v int, created string, notes string")
     twice = pages.upsert(pages.upsert(old, new, ["url"], keep=["created"], fill=["notes"]), new, ["url"], keep=["created"], fill=["notes"])
     assert sorted(map(tuple, twice.collect())) == [("a", 9, "t1", "new", "x"), ("b", 2, "t2", "n", "y"), ("c", 3, "t3", "m", None)]
+
+
+def test_the_query_trains_with_the_page_recipe(spark, tmp_path, monkeypatch):
+    from gleaner.operators import ml
+    from gleaner.plans import site
+
+    docs = [(i, f"text {i}", f"src{i % 10}") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i // 10 % 2) for i in range(40)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    used = []
+    monkeypatch.setattr(ml, "train", lambda rows, recipe=ml.PAGE: used.append(recipe))
+    monkeypatch.setattr(ml, "predict", lambda rows, model: rows.select("id"))
+    site.train_page_classifier(spark, str(tmp_path))
+    assert used == [ml.PAGE]
