@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ SEED_SCORE = 1_000_000.0
 
 @dataclass
 class Settings:
-    per_round: int = 5
-    rounds: int = 10
+    per_round: int | None = 5  # None: all of the frontier that its hosts still allow
+    rounds: int | None = None  # None: until the frontier is empty
     topic: Topic = field(default_factory=Topic)
     gate: PageGate = field(default_factory=PageGate)
     link_gate: LinkGate = field(default_factory=LinkGate)
@@ -67,11 +68,23 @@ def start(seeds: DataFrame) -> State:
 
 
 def pick(state: State, s: Settings) -> DataFrame:
-    """This round's rows: ``per_round`` times the weight of each seed, best priority less what the host was just visited."""
+    """This round's rows: ``per_round`` times the weight of each seed, best priority less what the host was just visited.
+
+    Without ``per_round`` it is the whole frontier, of a host so many as can be
+    saved before it is full, or rejected before it is given up; the others wait.
+    Rows of a host that is full or given up are taken too, to be refused.
+    """
     last = state.saved.unionByName(state.rejected).groupBy("host").agg(F.max("round").alias("visited"))
     f = state.frontier.withColumn("host", urls.host_of(F.col("url"))).join(last, "host", "left")
     latest = Window.partitionBy("seed")
     penalty = F.when(F.col("visited") == F.max("visited").over(latest), F.lit(s.frontier.recent_weight)).otherwise(0.0)
+    if s.per_round is None:
+        counts = lambda t, name: t.groupBy("host").agg(F.count("*").alias(name))
+        f = f.join(counts(state.saved, "s"), "host", "left").join(counts(state.rejected, "r"), "host", "left").fillna(0, ["s", "r"])
+        fresh, full = F.col("s") == 0, F.lit(s.frontier.max_pages_per_host) - F.col("s")
+        room = F.when(fresh, F.least(full, F.lit(s.frontier.reject_cutoff) - F.col("r"))).otherwise(full)
+        n = F.row_number().over(Window.partitionBy("host").orderBy("priority", "url", "seed"))
+        return f.withColumn("n", n).where((F.col("n") <= room) | (room <= 0)).drop("n", "visited", "s", "r")
     w = Window.partitionBy("seed").orderBy(F.col("priority") + penalty, "url")
     return f.withColumn("n", F.row_number().over(w)).where(F.col("n") <= s.per_round * F.col("weight")).drop("n", "visited")
 
@@ -134,7 +147,7 @@ def step(state: State, web: DataFrame, page_score: Callable[[], Column], link_sc
 
 
 def crawl(seeds: DataFrame, web: DataFrame, page_score: Callable[[], Column], link_score: Callable[[], Column], settings: Settings | None = None, state: State | None = None) -> State:
-    """Rounds until the frontier is empty or ``rounds`` are done.
+    """Rounds until the frontier is empty, or ``rounds`` of them where that is given.
 
     page_score and link_score give the score column from the columns of a page
     (title, url, text, ...) or link (target_url, anchor, ...).
@@ -142,7 +155,7 @@ def crawl(seeds: DataFrame, web: DataFrame, page_score: Callable[[], Column], li
     s = settings or Settings()
     checkpoint_folder(seeds.sparkSession)
     state = state or start(seeds)
-    for number in range(1, s.rounds + 1):
+    for number in count(1) if s.rounds is None else range(1, s.rounds + 1):
         if state.frontier.isEmpty():
             break
         state = step(state, web, page_score, link_score, s, number)

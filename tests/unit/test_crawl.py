@@ -25,3 +25,25 @@ def test_rounds_over_a_small_web(spark, tmp_path):
     status = {(r.parent_url, r.target_url): r.target_status for r in done.links.collect()}
     assert status[HOST, HOST + "a"] == "page" and status[HOST, "https://other/x"] == "rejected"
     assert done.frontier.count() == 0
+
+
+def test_goes_on_until_the_frontier_is_empty(spark, monkeypatch):
+    left = iter(range(11, -1, -1))
+
+    def step(state, *_):
+        state.frontier = spark.range(next(left))
+        return state
+
+    monkeypatch.setattr(crawl, "step", step)
+    one = lambda: F.lit(0.9)
+    done = crawl.crawl(spark.createDataFrame([("https://h0/", 1)], "url string, round_robin_weight int"), None, one, one, crawl.Settings())
+    assert done.frontier.isEmpty() and next(left, None) is None
+
+
+def test_a_round_takes_what_hosts_still_allow(spark):
+    urls = [(f"https://{h}/{i}", f"https://{h}/{i}", 0, 1.0, -1.0, 1) for h, n in (("a", 9), ("b", 3)) for i in range(n)]
+    frontier = spark.createDataFrame(urls, "url string, seed string, depth int, score double, priority double, weight int")
+    none = spark.createDataFrame([], crawl.PAGE)
+    state = crawl.State(frontier, frontier.select("url"), none, none, spark.createDataFrame([], crawl.LINK))
+    s = crawl.Settings(per_round=None)
+    assert {r.host: r["count"] for r in crawl.pick(state, s).groupBy("host").count().collect()} == {"a": s.frontier.reject_cutoff, "b": 3}
