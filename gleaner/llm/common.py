@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
@@ -236,20 +236,128 @@ def components(edges: DataFrame) -> DataFrame:
     return both.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
-def one_each(docs: DataFrame) -> DataFrame:
-    """The numbered rows of ``docs``, one a doc_id: of rows that repeat one, that with the least text.
+def plain(table: DataFrame, *needed: str) -> DataFrame:
+    """``table`` with only the ``needed`` columns under their names; the others are x0, x1, ... in their order.
 
-    Finding repeats reads the doc_id column only; documents are moved only where there are some.
+    So no name of the input can clash with one of an operator, or hold a dot or a quote;
+    ``like`` gives the names back.
     """
-    numbered = docs.where("doc_id is not null")
-    twice = cut(numbered.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    return table.toDF(*(c if c in needed else f"x{i}" for i, c in enumerate(table.columns)))
+
+
+def like(inner: DataFrame, table: DataFrame, *more: str) -> DataFrame:
+    """The columns of ``plain(table, ...)``, and ``more``, under the names that ``table`` gives them.
+
+    A further column whose name the table has already is called mix_<name>, with as many mix_ as it takes.
+    """
+    names = list(table.columns)
+    for c in more:
+        while c.lower() in (n.lower() for n in names):
+            c = f"mix_{c}"
+        names.append(c)
+    return inner.toDF(*names)
+
+
+def one_each(rows: DataFrame, key: str = "doc_id", value: str = "text") -> DataFrame:
+    """The rows of a ``plain`` table with a key, one a key: of rows that repeat one, that with the least value.
+
+    NULL is the greatest value; equal values go by a digest of the whole row, so columns of any type may be
+    there.  Finding repeats reads the key column only; rows are moved only where there are some.
+    """
+    numbered = rows.where(F.col(key).isNotNull())
+    twice = cut(numbered.groupBy(key).count().where("count > 1").select(key))
     if twice.isEmpty():
         return numbered
-    once = numbered.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    row = F.min(F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text")))).alias("_row")
-    least = numbered.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(row)
-    return once.unionByName(least.select("doc_id", *(F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "doc_id")))
+    once = numbered.join(twice, key, "left_anti").select(*rows.columns)
+    order = F.struct(F.col(value).isNull(), F.col(value), F.sha2(F.to_json(F.struct(*rows.columns)), 256))
+    least = numbered.join(twice, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("_row"))
+    return once.unionByName(least.select("_row.*"))
+
+
+def without_number(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    return rows.where(F.col(key).isNull())
+
 
+HOT = 32_768
+EVERY = 256
 
-def without_number(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is null")
+
+def hot_cells(cells: DataFrame, hot: int = HOT, every: int = EVERY) -> DataFrame:
+    """(cell, chunks): the cells of more than about ``hot`` members, told by a sample of ``cells`` (cell).
+
+    ``cells`` holds the members of every ``every``-th row; counts are added up before they move.
+    """
+    n = F.count("*") * every
+    return cut(cells.groupBy("cell").agg(n.alias("n")).where(F.col("n") > hot).select("cell", F.ceil(F.col("n") * 2 / hot).cast("long").alias("chunks")))
+
+
+def every_nth(column: str, every: int = EVERY) -> Column:
+    """True for about one id in ``every``, by a hash."""
+    return F.pmod(F.xxhash64(F.lit(71), column), F.lit(every)) == 0
+
+
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (each row's least row so far) after the rows a[k] and b[k] are joined for every k."""
+    a, b = label[a], label[b]
+    while True:
+        apart = a != b
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        parent = np.arange(len(label))
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+        label, a, b = parent[label], parent[a], parent[b]
+
+
+LEVELS = 4
+LEADERS = 8
+
+
+def leaders(label: np.ndarray, most: int = LEADERS) -> np.ndarray:
+    """Up to ``most`` rows of each component, evenly placed in the order of rows."""
+    order = np.argsort(label, kind="stable")
+    first = np.flatnonzero(np.append(True, label[order][1:] != label[order][:-1])) if len(label) else np.zeros(0, np.int64)
+    size = np.repeat(np.diff(np.append(first, len(label))), np.diff(np.append(first, len(label))))
+    place = np.arange(len(label)) - np.repeat(first, np.diff(np.append(first, len(label))))
+    return order[place * most // size != (place - 1) * most // size]
+
+
+def search_cells(members: DataFrame, spread, compare, schema: str, hot: int = HOT, every: int = EVERY, levels: int = LEVELS) -> list[DataFrame]:
+    """Links (a, b, sure) found in the cells over which ``spread`` lays ``members`` (path, id, ...).
+
+    spread(level) and compare are functions for mapInArrow: the first gives (cell, id, ...) of ``schema``, the
+    second, of rows sorted by cell, links and with ``lead=True`` also up to LEADERS members (cell, id, ...) of
+    every component of a cell.  A cell of more than about ``hot`` members is cut into chunks by a hash of the id,
+    and only the leaders of a chunk's components go on: their cell is laid out anew by the next level's cells.  So
+    a thick group shrinks by a factor of its chunks' size, and no task holds more than about ``hot`` members.  What
+    is still hot at the last level is compared chunk by chunk, every pair of chunks in a task of its own.
+    """
+    links = "a long, b long, sure boolean"
+    found, level = [], 0
+    while True:
+        sample = members.where(every_nth("id", every)).mapInArrow(lean(spread(level)), schema).select("cell")
+        crowded = hot_cells(sample, hot, every)
+        entries = members.mapInArrow(lean(spread(level)), schema)
+        by_cell = lambda rows: rows.repartition("cell").sortWithinPartitions("cell")
+        if crowded.isEmpty():
+            found.append(by_cell(entries).mapInArrow(lean(compare(False)), links))
+            return found
+        marked = entries.join(small_side(crowded), "cell", "left")
+        columns = entries.columns
+        found.append(by_cell(marked.where("chunks is null").select(*columns)).mapInArrow(lean(compare(False)), links))
+        chunk = F.pmod(F.xxhash64(F.lit(level + 17), "id"), F.col("chunks"))
+        thick = marked.where("chunks is not null").withColumn("chunk", chunk)
+        if level + 1 == levels:
+            pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.xxhash64("cell", F.least("chunk", j), F.greatest("chunk", j)))
+            thick = thick.withColumn("pair", F.explode(pair)).drop("cell").withColumnRenamed("pair", "cell").select(*columns)
+            found.append(by_cell(thick).mapInArrow(lean(compare(False)), links))
+            return found
+        thick = thick.withColumn("path", F.col("cell")).withColumn("cell", F.xxhash64("cell", "chunk"))
+        rest = [c for c in columns if c not in ("cell", "own")]
+        kinds = ", ".join(f"{c} {dict(members.dtypes)[c]}" for c in rest)
+        done = cut(by_cell(thick.select(*columns, "path")).mapInArrow(lean(compare(True)), f"{links}, path long, {kinds}"))
+        found.append(done.where("a is not null").select("a", "b", "sure"))
+        members = done.where("a is null").select("path", *rest).dropDuplicates(["path", "id"])
+        level += 1
