@@ -32,6 +32,19 @@ def rows():
     return [(i, t, lang, s, None if t is None else len(t)) + ("x",) * 9 for i, t, lang, s in out]
 
 
+#: Legal columns whose names clash with SQL, with each other once dots are split, or with the operators' own.
+ODD = "`meta.url` string, `a``b` map<string,string>, _id long, _taken int, _row string, epoch int, taken int, x0 string, hit int, count int, h long, cell long, removed_words int"
+
+
+def odd_docs(spark, data=None):
+    """The rows of ``docs`` with odd columns, MAP ones too, and doc_id 2 repeated with another text and without."""
+    source = rows() if data is None else data
+    extra = [r[:5] for r in source]
+    if data is None:
+        extra += [(2, "a second text", "en", "a", 13), (2, None, "en", "a", None)]
+    return spark.createDataFrame([(*r, f"u{k}", {"k": str(k)}, *([k] * 2), "r", 5, 6, "y", *([k] * 5)) for k, r in enumerate(extra)], f"doc_id long, text string, lang string, source string, n_chars long, {ODD}")
+
+
 def docs(spark, data=None):
     return spark.createDataFrame(rows() if data is None else data, CLASHING)
 
