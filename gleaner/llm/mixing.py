@@ -15,8 +15,11 @@ Tokens are maximal runs of characters other than blank, tab, line feed, form
 feed and carriage return.  Nulls, empties and ties: a NULL source is a source of
 its own, with weight ``default_weight``; texts without tokens (NULL, empty) and
 rows with a NULL doc_id are never taken; equal keys go by doc_id; of rows that
-repeat a doc_id the one with the least text counts.  A source without tokens
-can't be repeated: its budget stays unused.
+repeat a doc_id the one with the least text that isn't NULL counts.  A source
+without tokens can't be repeated: its budget stays unused.  Very long texts are
+counted whole; an empty table gives an empty result.  Other columns may have any
+name and type: ``mix`` passes them on, and where the table has columns called
+epoch or taken already its own are called mix_epoch and mix_taken.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, one_each
+from gleaner.llm.common import cut, like, one_each, plain
 
 KEY_BITS = 48
 SLICE_BITS = 10
@@ -41,21 +44,16 @@ def token_count() -> Column:
     return F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(TOKEN)).cast("long")
 
 
-def selection(
-    docs: DataFrame,
+def _selection(
+    unique: DataFrame,
     weights: dict[str, int] | None = None,
     default_weight: int = 1,
     budget: int | None = None,
     seed: int = 17,
     slice_bits: int = SLICE_BITS,
 ) -> DataFrame:
-    """(doc_id, source, epoch, tokens, taken): what each source gives, with every repetition.
-
-    budget: tokens in all, by default those of the corpus; weights by source.
-    """
     sized = cut(
-        one_each(docs)
-        .select("doc_id", "source", token_count().alias("tokens"), random_key(seed).alias("key"))
+        unique.select("doc_id", "source", token_count().alias("tokens"), random_key(seed).alias("key"))
         .where("tokens > 0")
         .withColumn("slice", F.shiftright("key", KEY_BITS - slice_bits))
     )
@@ -88,15 +86,24 @@ def selection(
     return placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), last))).select("doc_id", "source", "epoch", "tokens", taken.alias("taken"))
 
 
+def selection(docs: DataFrame, **params) -> DataFrame:
+    """(doc_id, source, epoch, tokens, taken): what each source gives, with every repetition.
+
+    budget: tokens in all, by default those of the corpus; weights by source, default_weight for the others.
+    """
+    return _selection(one_each(plain(docs, "doc_id", "text", "source").select("doc_id", "text", "source")), **params)
+
+
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The mixed corpus: the columns of ``docs`` plus epoch and taken; a part of a text is cut to its taken tokens."""
-    chosen = selection(docs, **params).select("doc_id", "epoch", "tokens", "taken")
-    chosen = chosen.withColumnsRenamed({"doc_id": "_id", "epoch": "_epoch", "tokens": "_tokens", "taken": "_taken"})
-    rows = one_each(docs).join(chosen, F.col("doc_id") == F.col("_id"))
-    tokens = F.expr("slice(regexp_extract_all(text, '(?s)[ \\\\t\\\\n\\\\f\\\\r]*[^ \\\\t\\\\n\\\\f\\\\r]+', 0), 1, int(_taken))")
-    text = F.when(F.col("_taken") < F.col("_tokens"), F.array_join(tokens, "")).otherwise(F.col("text"))
-    columns = {c: F.col(f"`{c}`") for c in docs.columns}
+    unique = one_each(plain(docs, "doc_id", "text", "source", "n_chars"))
+    chosen = _selection(unique, **params).select("doc_id", "epoch", "tokens", "taken")
+    rows = unique.join(chosen, "doc_id")
+    tokens = F.expr("slice(regexp_extract_all(text, '(?s)[ \\t\\n\\f\\r]*[^ \\t\\n\\f\\r]+', 0), 1, int(taken))")
+    part = F.col("taken") < F.col("tokens")
+    text = F.when(part, F.array_join(tokens, "")).otherwise(F.col("text"))
+    columns = {c: F.col(c) for c in unique.columns}
     columns["text"] = text.alias("text")
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("_taken") < F.col("_tokens"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
-    return rows.select(*columns.values(), *(F.col(f"_{c}").alias(c) for c in ("epoch", "taken") if c not in docs.columns))
+        columns["n_chars"] = F.when(part, F.length(text).cast(unique.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
+    return like(rows.select(*columns.values(), "epoch", "taken"), docs, "epoch", "taken")

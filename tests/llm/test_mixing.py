@@ -1,7 +1,7 @@
 from collections import defaultdict
 
 from gleaner.llm import mixing
-from tests.llm.cases import docs, words
+from tests.llm.cases import docs, odd_docs, words
 
 
 def corpus(spark):
@@ -48,7 +48,19 @@ def test_odd_rows(spark):
     got = mixing.selection(docs(spark), budget=1_000).collect()
     assert {r.doc_id for r in got} <= {1, 2, 6, 7, 8, 9, 10, 11}
     out = mixing.mix(docs(spark), budget=1_000)
-    assert out.columns == docs(spark).columns + ["taken"] and out.count() == len(got)
+    assert out.columns == docs(spark).columns + ["mix_epoch", "taken"] and out.count() == len(got)
+    assert {r.epoch for r in out.collect()} == {"x"} and {r.mix_epoch for r in out.collect()} >= {0, 1}
+
+
+def test_odd_columns(spark):
+    d = odd_docs(spark)
+    got, out = mixing.selection(d, budget=1_000).collect(), mixing.mix(d, budget=1_000)
+    assert out.columns == d.columns + ["mix_epoch", "mix_taken"]
+    rows = out.collect()
+    key = lambda k: str(k)
+    assert sorted(((r["doc_id"], r["mix_epoch"], r["mix_taken"]) for r in rows), key=key) == sorted(((r.doc_id, r.epoch, r.taken) for r in got), key=key)
+    assert all(r["_taken"] >= 0 and r["epoch"] == 5 and r["taken"] == 6 and r["a`b"] for r in rows)
+    assert mixing.mix(odd_docs(spark, [])).count() == 0
 
 
 def test_empty_table_and_no_budget(spark):
