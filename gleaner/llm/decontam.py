@@ -11,15 +11,20 @@ shorter) that holds the hit agrees in at least ``min_share`` of its words.
 An item shorter than ``min_words`` must agree as a whole, so it is cut into one
 part more than it may have changed words: one of them is untouched wherever the
 item stands, and the parts are hashed as they are.  Items too short for any
-change are one part.  So every overlap of such an item is hit.
-
-The benchmark's hashes reach the tasks as a bit table of fixed size, which only
-thins out the positions; what it lets through is joined with the benchmark by
-hash, so that the benchmark may be of any size.
-
-Nulls, empties and ties: NULL and empty texts, items without
-words and rows with a NULL doc_id or item_id match nothing.  Repeated rows give
-one result.  Extra columns are ignored.
+change are one part.  So every overlap of such an item is hit.  Masks need a
+window that holds them: where ``min_words`` is under SPAN, every run of
+``min_words`` words of a longer item is cut into such parts instead.
+
+The benchmark's hashes reach the tasks as a bit table, about 32 bits a hash and
+between 2**20 and 2**31 bits in all, which only thins out the positions; what it
+lets through is joined with the benchmark by hash, so that the benchmark may be
+of any size.
+
+Nulls, empties and ties: NULL and empty texts, items without words and rows with
+a NULL doc_id or item_id match nothing.  Repeated rows give one result, the
+greatest share counting.  Very long texts and items are read whole, in slices;
+empty tables give no overlaps, and nothing is removed.  Other columns may have
+any name and type; ``decontaminate`` passes them on.
 """
 
 from __future__ import annotations
@@ -29,10 +34,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import lean, mix, Scan, scans, small_side, without_number
+from gleaner.llm.common import lean, like, mix, plain, Scan, scans, small_side, without_number
 
 # 1 compares, 0 is ignored; neither mask is a shift of another.
 MASKS = ("110100110101", "101011001011", "111001011001")
@@ -40,7 +46,7 @@ SPAN = 12
 WEIGHT = 7
 MIN_WORDS = 20
 MIN_SHARE = 0.8
-BITS = 23
+LEAST_BITS, MOST_BITS = 20, 31
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 assert all(len(m) == SPAN and m.count("1") == WEIGHT for m in MASKS)
 
@@ -82,7 +88,7 @@ def runs(s: Scan, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _part_runs(s: Scan, length: int, min_words: int, min_share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Those runs that are parts of items shorter than ``min_words``."""
+    """Those runs that are parts of items shorter than ``min_words``, or of windows too short for a mask."""
     i, h = runs(s, length)
     o = np.searchsorted(s.first, i, "right") - 1
     n = np.diff(s.first)
@@ -90,6 +96,8 @@ def _part_runs(s: Scan, length: int, min_words: int, min_share: float) -> tuple[
     for words in np.unique(n[(n > 0) & (n < min_words)]):
         starts = [a for a, size in parts(int(words), min_share) if size == length]
         some |= (n[o] == words) & np.isin(i - s.first[o], starts)
+    if min_words < SPAN and length == parts(min_words, min_share)[0][1]:
+        some |= n[o] >= min_words
     return i[some], h[some]
 
 
@@ -110,17 +118,20 @@ def _rows(a: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(a))])
 
 
-def _hit_batches(id_name: str, reach: int, table: np.ndarray | None, lengths: list[int], min_words: int, min_share: float):
+def _hit_batches(id_name: str, reach: int, table: Broadcast | None, lengths: list[int], min_words: int, min_share: float):
+    masks = range(len(MASKS) if min_words >= SPAN else 0)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = table if table is None or isinstance(table, np.ndarray) else table.value
+        bits = None if table is None else table.value
+        shift = None if table is None else np.uint64(64 - (8 * len(bits) - 1).bit_length())
         for b in batches:
             ids = b.column(id_name).to_numpy()
             for at, end, s in scans(b.column("text")):
                 words = _codes(s)
                 short = (runs(s, n) if bits is not None else _part_runs(s, n, min_words, min_share) for n in lengths)
-                for i, h in chain((seeds(s, mask) for mask in range(len(MASKS))), short):
+                for i, h in chain((seeds(s, mask) for mask in masks), short):
                     if bits is not None:
-                        slot = h >> np.uint64(64 - BITS)
+                        slot = h >> shift
                         some = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
                         i, h = i[some], h[some]
                     if not len(i):
@@ -145,12 +156,14 @@ def _schema(id_name: str) -> str:
 
 
 def _bit_table(hits: DataFrame) -> np.ndarray:
-    """The fixed-size bit table of the benchmark's hashes; at most 2**BITS slots reach the driver."""
-    slot = F.shiftrightunsigned(F.col("seed"), 64 - BITS).alias("slot")
-    slots = hits.select(slot).distinct().toArrow()["slot"].to_numpy()
-    bits = np.zeros(1 << (BITS - 3), np.uint8)
-    np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
-    return bits
+    """The bit table of the benchmark's hashes, put together from pieces of 2**15 bits."""
+    bits = min(max((32 * hits.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    slot = F.shiftrightunsigned(F.col("seed"), 64 - bits)
+    rows = hits.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("piece")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(32767))).alias("bits"))
+    table = np.zeros((1 << (bits - 15), 4096), np.uint8)
+    for r in rows.toLocalIterator():
+        table[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
+    return table.reshape(-1)
 
 
 def agreement(doc: np.ndarray, item: np.ndarray, item_words: np.ndarray, reach: int, min_words: int) -> np.ndarray:
@@ -166,7 +179,7 @@ def agreement(doc: np.ndarray, item: np.ndarray, item_words: np.ndarray, reach:
     best = np.zeros(len(doc))
     for size in np.unique(np.minimum(item_words, min_words)):
         rows = np.flatnonzero(np.minimum(item_words, min_words) == size)
-        span = SPAN if size == min_words else 1
+        span = SPAN if size == min_words >= SPAN else 1
         for start in range(max(0, reach + span - size), min(reach, width - size) + 1):
             full = inside[rows, start + size] - inside[rows, start] == size
             best[rows] = np.maximum(best[rows], np.where(full, (total[rows, start + size] - total[rows, start]) / size, 0))
@@ -174,12 +187,14 @@ def agreement(doc: np.ndarray, item: np.ndarray, item_words: np.ndarray, reach:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(doc_id, item_id, share): the verified overlaps, one row a pair."""
+    """(doc_id, item_id, share): the verified overlaps, one row a pair; ``min_words`` is 1 at least."""
+    if min_words < 1:
+        raise ValueError("min_words must be at least 1")
     spark = docs.sparkSession
     reach = max(1, min_words - 1)
     named = benchmark.where("item_id is not null").select("item_id", "text")
     sizes = [r.n for r in named.mapInArrow(lean(_sizes), "n int").where((F.col("n") > 0) & (F.col("n") < min_words)).distinct().collect()]
-    lengths = sorted({size for n in sizes for _, size in parts(n, min_share)})
+    lengths = sorted({size for n in [*sizes, *([min_words] if min_words < SPAN else [])] for _, size in parts(n, min_share)})
     items = named.mapInArrow(lean(_hit_batches("item_id", reach, None, lengths, min_words, min_share)), _schema("item_id"))
     bits = spark.sparkContext.broadcast(_bit_table(items))
     places = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(_hit_batches("doc_id", reach, bits, lengths, min_words, min_share)), _schema("doc_id"))
@@ -200,5 +215,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """``docs`` without the contaminated ones; rows with a NULL doc_id stay."""
-    hit = small_side(overlaps(docs, benchmark, **params).select("doc_id").distinct())
-    return docs.where("doc_id is not null").join(hit, "doc_id", "left_anti").select(*docs.columns).unionByName(without_number(docs))
+    rows = plain(docs, "doc_id", "text")
+    hit = small_side(overlaps(rows, benchmark, **params).select("doc_id").distinct())
+    kept = rows.where("doc_id is not null").join(hit, "doc_id", "left_anti").select(*rows.columns)
+    return like(kept.unionByName(without_number(rows)), docs)

@@ -1,7 +1,7 @@
 import random
 
 from gleaner.llm import decontam
-from tests.llm.cases import docs, words
+from tests.llm.cases import docs, odd_docs, words
 
 
 def bench(spark, texts):
@@ -55,6 +55,38 @@ def test_odd_rows(spark):
     assert sorted(i for i in ids if i) == [3, 4, 5, 6, 7, 9, 10, 11] and ids.count(None) == 2
 
 
+def test_odd_columns(spark):
+    d = odd_docs(spark)
+    out = decontam.decontaminate(d, bench(spark, [words(80, 2)]).toDF("item_id", "text", "a.b"))
+    assert out.columns == d.columns
+    ids = [r["doc_id"] for r in out.collect()]
+    assert sorted(i for i in ids if i) == [3, 4, 5, 6, 7, 8, 9, 10, 11] and ids.count(None) == 2
+
+
+def test_short_windows_against_brute_force(spark):
+    r = random.Random(5)
+    items = [words(r.randrange(8, 40), k, 60) for k in range(12)] + ["one two three"]
+    texts = []
+    for k in range(60):
+        w = items[k % 13].split()
+        a = r.randrange(max(1, len(w) - 7))
+        texts.append(f"{words(10, 100 + k, 60)} {' '.join(x if r.random() < 0.85 else 'zz' for x in w[a : a + 12])} {words(10, 300 + k, 60)}")
+    texts.append(items[0])
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for least in (12, 11, 8, 3, 1):
+        got = {(x.doc_id, x.item_id) for x in decontam.overlaps(d, bench(spark, items), least).collect()}
+        truth = {(i, j) for i, t in enumerate(texts) for j, item in enumerate(items) if best_share(t, item, least) >= decontam.MIN_SHARE}
+        assert got <= truth and (60, 0) in got and (got == truth or least == 12), least
+
+
+def test_bit_table_holds_every_hash(spark):
+    hits = spark.range(3000).selectExpr("xxhash64(id) as seed")
+    table = decontam._bit_table(hits)
+    shift = 64 - (8 * len(table) - 1).bit_length()
+    slots = {(r.seed & (2**64 - 1)) >> shift for r in hits.collect()}
+    assert {8 * i + k for i, b in enumerate(table) if b for k in range(8) if b >> k & 1} == slots
+
+
 def test_empty_tables(spark):
     assert decontam.overlaps(docs(spark, []), bench(spark, ["x"])).count() == 0
     assert decontam.overlaps(docs(spark), bench(spark, ["x"]).limit(0)).count() == 0
