@@ -11,12 +11,16 @@ byte, whatever the vocabulary.  Words of a batch step side by side.
 
 The vocabulary file is read on the driver, its path is a parameter; every single
 byte counts as a piece, so that any text has a count.  NULL texts have a NULL
-count, empty and blank ones 0; every row is counted, repeated doc_ids included.
+count, empty and blank ones 0; every row is counted, repeated and NULL doc_ids
+included.  Very long texts are counted whole, in slices, and very long words byte
+by byte; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -119,6 +123,7 @@ class Automaton:
         return back
 
 
+#: The last automaton of this process, by what it was built from.
 _BUILT: dict[str, Automaton] = {}
 
 
@@ -142,14 +147,17 @@ def count_texts(texts: pa.Array, automaton: Automaton) -> np.ndarray:
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) for every row."""
-    entries = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    words = read_vocabulary(vocabulary)
+    digest = hashlib.sha256(b"".join(len(w).to_bytes(4) + w for w in words)).hexdigest()
+    entries = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _BUILT:
-            _BUILT[vocabulary] = Automaton(entries.value)
+        if digest not in _BUILT:
+            _BUILT.clear()
+            _BUILT[digest] = Automaton(entries.value)
         for b in batches:
             text = b.column("text")
-            counts = pa.array(count_texts(text, _BUILT[vocabulary]), mask=text.is_null().to_numpy(zero_copy_only=False))
+            counts = pa.array(count_texts(text, _BUILT[digest]), mask=text.is_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), counts], names=["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long")

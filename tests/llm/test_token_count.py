@@ -4,7 +4,7 @@ import random
 import pyarrow as pa
 
 from gleaner.llm import token_count
-from tests.llm.cases import docs, words
+from tests.llm.cases import docs, odd_docs, words
 
 
 def greedy(text, vocabulary):
@@ -47,3 +47,15 @@ def test_odd_rows(spark, tmp_path):
     assert len(got) == 14 and by[3] is None and by[4] == by[5] == 0 and by[11] == 1
     assert by[8] == greedy(words(30_000, 1), token_count.read_vocabulary(path)) and by[9] == 300_001
     assert token_count.token_counts(docs(spark, []), path).count() == 0
+
+
+def test_a_changed_file_is_read_again(spark, tmp_path):
+    path = vocabulary_file(tmp_path)
+    d = spark.createDataFrame([(1, "one one")], "doc_id long, text string")
+    assert token_count.token_counts(d, path).first().n_tokens == 2
+    (tmp_path / "ranks").write_text("")
+    assert token_count.token_counts(d, path).first().n_tokens == 8
+
+
+def test_odd_columns(spark, tmp_path):
+    assert token_count.token_counts(odd_docs(spark), vocabulary_file(tmp_path)).count() == 16
