@@ -9,17 +9,23 @@ doubles the hop in every round, so that the number of rounds is the logarithm of
 the number of blocks in the longest file.  Payloads are read last, for reachable
 records only, and are never shuffled.
 
-Files are opened by URI through pyarrow's file systems.  Nulls, empties and
-breaks: a NULL payload is marked in the header and read back as NULL, an empty
+Files are opened by URI through pyarrow's file systems.  Files of gzip members,
+one a record, are read the same way: a candidate is a place where a member with a
+record header starts, and its successor is where the member ends.
+
+Nulls, empties and breaks: a NULL payload is marked in the header and read back as NULL, an empty
 one as empty; NULL page_id and url have no header line.  A url with line breaks
 or blanks at its ends is percent-encoded, and marked so.  A record that runs past the end of its file
 is dropped, and so is what follows a break of the chain.  Repeated rows are
-repeated records.  An empty file has no records.
+repeated records, very long payloads are read in one piece, columns of ``pages``
+other than page_id, url and html are ignored.  An empty file or folder has no
+records.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import unquote
 
@@ -102,6 +108,33 @@ def candidates(read, path: str, start: int, block: int, length: int) -> list[tup
     return out
 
 
+GZIP = b"\x1f\x8b\x08"
+
+
+def zipped_candidates(read, path: str, start: int, block: int, length: int) -> list[tuple[int, int, int]]:
+    """``candidates`` for a file of gzip members: (member start, member start, next member)."""
+    data = read(path, start, min(block + len(GZIP), length - start))
+    out, at = [], data.find(GZIP)
+    while 0 <= at < block:
+        unzip, here, head = zlib.decompressobj(31), start + at, b""
+        piece = data[at : at + HEAD]
+        try:
+            while piece and not unzip.eof:
+                got = unzip.decompress(piece)
+                if len(head) < len(MAGIC):
+                    head += got[: len(MAGIC)]
+                    if not MAGIC.startswith(head[: len(MAGIC)]):
+                        break
+                here += len(piece)
+                piece = read(path, here, min(1 << 20, length - here)) if not unzip.eof else b""
+        except zlib.error:
+            pass
+        if unzip.eof and head.startswith(MAGIC):
+            out.append((start + at, start + at, here - len(unzip.unused_data)))
+        at = data.find(GZIP, at + 1)
+    return out
+
+
 def _exits(found: list[tuple[int, int, int]]) -> list[int]:
     """Where the chain from each candidate leaves the block."""
     out: dict[int, int] = {}
@@ -115,7 +148,8 @@ def _candidate_batches(block: int):
         files = _Files()
         for b in batches:
             for path, length, at in zip(*(b.column(c).to_pylist() for c in ("path", "length", "at"))):
-                found = candidates(files.read, path, at, block, length)
+                zipped = files.read(path, 0, len(GZIP)) == GZIP
+                found = (zipped_candidates if zipped else candidates)(files.read, path, at, block, length)
                 n = len(found)
                 cols = list(zip(*found)) if n else [(), (), ()]
                 yield pa.RecordBatch.from_arrays(
@@ -137,6 +171,13 @@ def _payload_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 continue
             due = (path, block, follow)
             raw = files.read(path, start, follow - start)
+            if raw.startswith(GZIP):
+                raw = zlib.decompress(raw, 31)
+                parsed = parse_header(raw, 0)
+                size = parsed and _LENGTH.search(parsed[0])
+                if not size or parsed[1] + int(size[1]) > len(raw):
+                    continue
+                raw, body = raw[: parsed[1] + int(size[1])] + END, start + parsed[1]
             head = raw[: body - start].replace(b"\r\n", b"\n")
             page, url = _PAGE.search(head), _URL.search(head)
             html = None if _NO_PAYLOAD.search(head) else raw[body - start : -4].decode("utf-8", "replace")

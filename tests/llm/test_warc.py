@@ -1,3 +1,4 @@
+import gzip
 import random
 
 from gleaner.llm import warc
@@ -42,6 +43,24 @@ def test_chain_stops_at_a_break(spark, tmp_path):
     assert [r.html for r in warc.read_warc(spark, f"file://{tmp_path}", glob="*.warc").collect()] == ["a"]
 
 
+def test_gzip_members(spark, tmp_path):
+    r = random.Random(3)
+    wants, data = [], b""
+    for i in range(60):
+        inner = gzip.compress(FAKE.encode())
+        body = b"".join(r.choice([inner, FAKE.encode(), bytes([r.randrange(97, 123)]) * 3000]) for _ in range(r.randrange(4)))
+        head = f"WARC/1.0\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+        data += gzip.compress(head + body + warc.END, r.randrange(10))
+        wants.append((i, body.decode("utf-8", "replace")))
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(data[: len(data) // 2])
+    for block in (500, 10_000, warc.BLOCK):
+        got = warc.read_warc(spark, f"file://{tmp_path}", block, "*.gz").collect()
+        assert sorted((x.page_id, x.html) for x in got if x.path.endswith("a.warc.gz")) == wants
+        half = sorted((x.page_id, x.html) for x in got if x.path.endswith("b.warc.gz"))
+        assert half == wants[: len(half)] and half
+
+
 def test_empty_table(spark, tmp_path):
     folder = f"file://{tmp_path}/w"
     warc.write_warc(pages(spark, []), folder)
