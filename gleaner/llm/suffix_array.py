@@ -18,9 +18,20 @@ settled by comparing its few possible windows of ``min_words`` words.  A context
 of ``min_words - GRAM`` words on either side is enough, since the next anchor
 of a longer factor is within reach.
 
+A task counts its own repeats before anything moves: of anchors that occur more
+than once in a batch one row is sent, and of equal contexts the first; what
+follows it in the batch is a later copy of as much as the context holds.  So
+copies of one passage send a row a batch, however many there are.  An anchor in
+more than ``hot`` places, whose contexts may differ all the same, isn't a bucket:
+its windows of ``min_words`` words are hashed, and all but the first of equal
+ones are later copies, which again takes a row a window and batch.
+
 Nulls, empties and ties: rows with a NULL doc_id and texts with fewer than
-``min_words`` words have no spans.  Of rows that repeat a doc_id the one with
-the least text counts and stays.
+``min_words`` words have no spans (``remove_repeats`` keeps them as they are).
+Of rows that repeat a doc_id the one with the least text that isn't NULL counts
+and stays.  Very long texts are read whole, in slices; an empty table gives an
+empty result; other columns may have any name and type, ``remove_repeats``
+passes them on.
 """
 
 from __future__ import annotations
@@ -31,11 +42,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gleaner.llm.common import by_group, lean, mix, one_each, Scan, scans, without_number
+from gleaner.llm.common import HOT, by_group, cut, lean, like, mix, one_each, plain, Scan, scans, without_number
 
 MIN_WORDS = 50
 GRAM = 30
+MOST_HOT = 1_000_000
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -96,34 +109,121 @@ def anchors(s: Scan, min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[np.n
 
 
 def _anchor_batches(min_words: int, gram: int):
+    """(anchor, doc_id, at, n): anchors that occur once in a batch, and those known to be repeated.
+
+    The latter have n = 0 and a random number as anchor, so that they are spread; n > 1 stands for all that a batch holds.
+    """
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id").to_numpy()
+            hashes, docs, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for at, end, s in scans(b.column("text")):
                 i, h = anchors(s, min_words, gram)
                 owner = np.searchsorted(s.first, i, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(ids[at:end][owner]), pa.array((i - s.first[owner]).astype(np.int32))], names=["anchor", "doc_id", "at"]
-                )
+                hashes.append(h)
+                docs.append(ids[at:end][owner])
+                places.append((i - s.first[owner]).astype(np.int32))
+            h, doc, place = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places)
+            known, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
+            again = n[inverse] > 1
+            key = np.where(again, mix(doc.astype(np.uint64) * _STEP + place.astype(np.uint64)), h)
+            more = known[n > 1]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.append(key, more).view(np.int64)),
+                    pa.array(np.append(doc, np.zeros(len(more), np.int64))),
+                    pa.array(np.append(place, np.zeros(len(more), np.int32))),
+                    pa.array(np.append(np.where(again, 0, 1), n[n > 1]).astype(np.int32)),
+                ],
+                names=["anchor", "doc_id", "at", "n"],
+            )
+
+    return run
+
+
+def _repeated(hot: int):
+    """Of a partition sorted by anchor, the places of repeated anchors, and with doc_id NULL the anchors in over ``hot`` places."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, "anchor"):
+            anchor, doc, at, n = (t.column(c).to_numpy() for c in ("anchor", "doc_id", "at", "n"))
+            open_rows = np.flatnonzero(n > 0)
+            known, inverse = np.unique(anchor[open_rows], return_inverse=True)
+            total = np.bincount(inverse, n[open_rows], len(known))
+            repeated = n == 0
+            repeated[open_rows] = (n[open_rows] == 1) & (total[inverse] > 1)
+            rows, thick = np.flatnonzero(repeated), np.flatnonzero(total > hot)
+            no_doc = pa.nulls(len(thick), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.append(np.zeros(len(rows), np.int64), known[thick])),
+                    pa.concat_arrays([pa.array(doc[rows]), no_doc]),
+                    pa.array(np.append(at[rows], np.minimum(total[thick], 2**31 - 1)).astype(np.int32)),
+                ],
+                names=["anchor", "doc_id", "at"],
+            )
 
     return run
 
 
-def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition sorted by anchor, the rows whose anchor occurs more than once."""
-    for t in by_group(batches, "anchor"):
-        a = t.column("anchor").to_numpy()
-        same = np.append(a[1:] == a[:-1], False)
-        t = t.filter(pa.array(same | np.append(False, same[:-1])))
-        yield from t.select(["doc_id", "at"]).combine_chunks().to_batches()
+class _Seen:
+    """The first place (doc_id, at) of every key that a task has met."""
 
+    def __init__(self) -> None:
+        self.key, self.doc, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-def _context_batches(min_words: int, gram: int):
+    def first(self, key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which rows come before all others of their key so far."""
+        out = np.zeros(len(key), bool)
+        if not len(key):
+            return out
+        order = np.lexsort((at, doc, key))
+        lead = order[np.append(True, key[order][1:] != key[order][:-1])]
+        k, d, a = key[lead], doc[lead], at[lead]
+        i = np.searchsorted(self.key, k)
+        inside = np.minimum(i, max(len(self.key) - 1, 0))
+        old = (self.key[inside] == k) if len(self.key) else np.zeros(len(k), bool)
+        before = ~old
+        if old.any():
+            x = inside[old]
+            before[old] = (d[old] < self.doc[x]) | ((d[old] == self.doc[x]) & (a[old] < self.at[x]))
+            x, new = inside[old & before], old & before
+            self.doc[x], self.at[x] = d[new], a[new]
+        self.key, self.doc, self.at = (np.insert(mine, i[~old], theirs[~old]) for mine, theirs in ((self.key, k), (self.doc, d), (self.at, a)))
+        out[lead[before]] = True
+        return out
+
+
+#: Kinds of rows that meet at an anchor: a context, a span that is known to repeat, a window of a hot anchor.
+CONTEXT, KNOWN, WINDOW = 0, 1, 2
+_ROWS = "anchor long, kind byte, doc_id long, at int, s int, e int, before binary, after binary"
+
+
+def _row_hash(ctx: np.ndarray, salt: int) -> np.ndarray:
+    h = np.full(len(ctx), np.uint64(salt))
+    for c in range(ctx.shape[1]):
+        h = h * _STEP + ctx[:, c]
+    return mix(h)
+
+
+def _context_batches(min_words: int, gram: int, hot: np.ndarray):
     side = min_words - gram
 
+    def rows(anchor, kind, doc, at, s, e, before=None, after=None) -> pa.RecordBatch:
+        n = len(doc)
+        empty = pa.array([b""] * n, pa.binary()) if before is None else None
+        return pa.RecordBatch.from_arrays(
+            [pa.array(anchor.view(np.int64)), pa.array(np.full(n, kind, np.int8)), pa.array(doc), *(pa.array(x.astype(np.int32)) for x in (at, s, e)), *(empty if x is None else _binary(x.astype(">u4"), 4 * side) for x in (before, after))],
+            names=["anchor", "kind", "doc_id", "at", "s", "e", "before", "after"],
+        )
+
+    def spans(doc, at, s, e) -> pa.RecordBatch:
+        return rows(mix(doc.astype(np.uint64) * _STEP + at.astype(np.uint64)), KNOWN, doc, at, s, e)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id").to_numpy()
+            ids, seen = b.column("doc_id").to_numpy(), _Seen()
             repeats = b.column("ats")
             for at, end, s in scans(b.column("text")):
                 i, h = anchors(s, min_words, gram)
@@ -135,25 +235,32 @@ def _context_batches(min_words: int, gram: int):
                 run_of = np.flatnonzero(known)
                 if not len(run_of):
                     continue
-                p, o = i[run_of], owner[run_of]
+                p, o, g = i[run_of], owner[run_of], h[run_of]
                 words = (s.hashes >> np.uint64(32)).astype(np.uint32)
                 words[words == 0] = 1  # 0 means the end of the text
                 reach = np.arange(side)
                 ahead = p[:, None] + gram + reach
                 behind = p[:, None] - 1 - reach
-                right_ctx = np.where(ahead < s.first[o + 1][:, None], words[np.minimum(ahead, len(words) - 1)], 0).astype(">u4")
-                left_ctx = np.where(behind >= s.first[o][:, None], words[np.maximum(behind, 0)], 0).astype(">u4")
-                width = 4 * side
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h[run_of].view(np.int64)),
-                        pa.array(ids[at:end][o]),
-                        pa.array((p - s.first[o]).astype(np.int32)),
-                        _binary(left_ctx, width),
-                        _binary(right_ctx, width),
-                    ],
-                    names=["anchor", "doc_id", "at", "before", "after"],
-                )
+                right = np.where(ahead < s.first[o + 1][:, None], words[np.minimum(ahead, len(words) - 1)], np.uint32(0))
+                left = np.where(behind >= s.first[o][:, None], words[np.maximum(behind, 0)], np.uint32(0))
+                before, after = (left != 0).sum(axis=1), (right != 0).sum(axis=1)
+                doc, place = ids[at:end][o], (p - s.first[o]).astype(np.int64)
+                thick = np.isin(g, hot)
+                key = mix(g ^ _row_hash(left, 1) * _STEP ^ _row_hash(right, 2))
+                first = seen.first(key, doc, place)
+                k = np.flatnonzero(~first & (before + gram + after >= min_words))
+                yield spans(doc[k], place[k], place[k] - before[k], place[k] + gram + after[k])
+                k = np.flatnonzero(first & ~thick)
+                yield rows(g[k], CONTEXT, doc[k], place[k], place[k] * 0, place[k] * 0, left[k], right[k])
+                if not thick.any():
+                    continue
+                for ahead_of in range(side + 1):  # windows with so many words before the anchor
+                    k = np.flatnonzero(first & thick & (before >= ahead_of) & (after >= side - ahead_of))
+                    window = mix(g[k] ^ _row_hash(left[k, :ahead_of], 3 + ahead_of) * _STEP ^ _row_hash(right[k, : side - ahead_of], 3 + side + ahead_of))
+                    lead = seen.first(window, doc[k], place[k])
+                    a, z = place[k] - ahead_of, place[k] - ahead_of + min_words
+                    yield rows(window[lead], WINDOW, doc[k][lead], place[k][lead], a[lead], z[lead])
+                    yield spans(doc[k][~lead], place[k][~lead], a[~lead], z[~lead])
 
     return run
 
@@ -286,29 +393,43 @@ def _cover_batches(min_words: int, gram: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, "anchor", 1 << 17):
-            ids, at = t.column("doc_id").to_numpy(), t.column("at").to_numpy()
-            rank = np.empty(len(ids), np.int64)
-            rank[np.lexsort((at, ids))] = np.arange(len(ids))
-            left, right = cover(t.column("anchor").to_numpy(), rank, _matrix(t.column("before"), width), _matrix(t.column("after"), width), min_words, gram)
-            i = np.flatnonzero(right)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array((at[i] - left[i]).astype(np.int32)), pa.array((at[i] + right[i]).astype(np.int32))], names=["doc_id", "s", "e"])
+            kind = t.column("kind").to_numpy()
+            out = [t.filter(pa.array(kind == KNOWN)).select(["doc_id", "s", "e"])]
+            w = t.filter(pa.array(kind == WINDOW))
+            if w.num_rows:
+                key, doc, at = (w.column(c).to_numpy() for c in ("anchor", "doc_id", "at"))
+                order = np.lexsort((at, doc, key))
+                later = order[1:][key[order][1:] == key[order][:-1]]
+                out.append(w.take(pa.array(later)).select(["doc_id", "s", "e"]))
+            c = t.filter(pa.array(kind == CONTEXT))
+            if c.num_rows:
+                ids, at = c.column("doc_id").to_numpy(), c.column("at").to_numpy()
+                rank = np.empty(len(ids), np.int64)
+                rank[np.lexsort((at, ids))] = np.arange(len(ids))
+                left, right = cover(c.column("anchor").to_numpy(), rank, _matrix(c.column("before"), width), _matrix(c.column("after"), width), min_words, gram)
+                i = np.flatnonzero(right)
+                out.append(pa.table({"doc_id": ids[i], "s": (at[i] - left[i]).astype(np.int32), "e": (at[i] + right[i]).astype(np.int32)}))
+            for x in out:
+                yield from x.combine_chunks().to_batches()
 
     return run
 
 
-def word_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+def word_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, spans) of unique ``docs``: the words [s, e) around each anchor that an earlier factor covers."""
     texts = docs.select("doc_id", "text")
-    found = (
-        texts.mapInArrow(lean(_anchor_batches(min_words, gram)), "anchor long, doc_id long, at int")
+    found = cut(
+        texts.mapInArrow(lean(_anchor_batches(min_words, gram)), "anchor long, doc_id long, at int, n int")
         .repartition("anchor")
         .sortWithinPartitions("anchor")
-        .mapInArrow(lean(_repeated), "doc_id long, at int")
+        .mapInArrow(lean(_repeated(hot)), "anchor long, doc_id long, at int")
     )
-    marks = found.groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
+    # those in most places, if there are more: a bucket then holds at most a millionth of all places
+    thick = found.where("doc_id is null").orderBy(F.desc("at"), "anchor").limit(MOST_HOT).toArrow()["anchor"].to_numpy().view(np.uint64)
+    marks = found.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
     covered = (
         texts.join(marks, "doc_id")
-        .mapInArrow(lean(_context_batches(min_words, gram)), "anchor long, doc_id long, at int, before binary, after binary")
+        .mapInArrow(lean(_context_batches(min_words, gram, np.sort(thick))), _ROWS)
         .repartition("anchor")
         .sortWithinPartitions("anchor")
         .mapInArrow(lean(_cover_batches(min_words, gram)), "doc_id long, s int, e int")
@@ -353,38 +474,34 @@ def _cut_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts[i] = b"".join(kept).decode("utf-8", "replace")
                 byte_spans.append(spans)
                 words.append(sum(e - a for a, e in merged))
-        columns = {n: b.column(n) for n in b.schema.names if n not in ("spans", "text", "_rest")}
+        columns = {n: b.column(n) for n in b.schema.names if n != "spans"}
         columns["text"] = pa.array(texts, pa.string())
         columns["removed_words"] = pa.array(words, pa.int64())
         columns["removed"] = pa.array(byte_spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-        if "_rest" in b.schema.names:
-            columns["_rest"] = b.column("_rest")
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-_CUT = "doc_id long, text string, removed_words long, removed array<struct<start:int,end:int>>"
+_REMOVED = "removed_words long, removed array<struct<start:int,end:int>>"
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, **params) -> DataFrame:
     """Documents that hold later copies: doc_id, text without them, removed_words, removed byte spans."""
-    unique = one_each(docs)
-    hit = unique.select("doc_id", "text").join(word_spans(unique, min_words, gram), "doc_id")
-    return hit.mapInArrow(lean(_cut_batches), _CUT)
+    unique = one_each(plain(docs, "doc_id", "text").select("doc_id", "text"))
+    hit = unique.join(word_spans(unique, min_words, gram, **params), "doc_id")
+    return hit.mapInArrow(lean(_cut_batches), f"doc_id long, text string, {_REMOVED}")
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, **params) -> DataFrame:
     """``docs`` with later copies cut from ``text`` and n_chars counted anew.
 
     A document of which nothing but blanks is left goes; rows with a NULL doc_id stay as they are.
     """
-    unique = one_each(docs)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    named = unique.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest")) if rest else unique
-    joined = named.join(word_spans(unique, min_words, gram), "doc_id", "left")
-    schema = _CUT + (f", _rest {named.schema['_rest'].dataType.simpleString()}" if rest else "")
+    rows = plain(docs, "doc_id", "text", "n_chars")
+    unique = one_each(rows)
+    joined = unique.join(word_spans(unique, min_words, gram, **params), "doc_id", "left").select(*rows.columns, "spans")
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL(_REMOVED).fields])
     done = joined.mapInArrow(lean(_cut_batches), schema).where("removed_words = 0 or trim(text) <> ''")
-    text = {"doc_id": F.col("doc_id"), "text": F.col("text")}
-    if "n_chars" in rest:
-        text["n_chars"] = F.when(F.col("removed_words") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_rest.n_chars"))
-    kept = done.select(*(text.get(c, F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns))
-    return kept.unionByName(without_number(docs))
+    if "n_chars" in rows.columns:
+        length = F.length("text").cast(rows.schema["n_chars"].dataType)
+        done = done.withColumn("n_chars", F.when(F.col("removed_words") > 0, length).otherwise(F.col("n_chars")))
+    return like(done.select(*rows.columns).unionByName(without_number(rows)), docs)

@@ -3,7 +3,7 @@ import pytest
 
 from gleaner.llm import suffix_array
 from gleaner.llm.suffix_array import lpf
-from tests.llm.cases import docs, simple, words
+from tests.llm.cases import docs, odd_docs, simple, words
 
 
 def brute(texts, k):
@@ -47,10 +47,11 @@ def test_against_brute_force(spark, k, gram, vocabulary):
             t += p[a : a + rng.integers(0, len(p) + 1)] + [f"v{x}" for x in rng.integers(0, vocabulary, rng.integers(0, k))]
         texts.append(" ".join(t))
     want = brute(texts, k)
-    got = {r.doc_id: r.text.split() for r in suffix_array.repeats(simple(spark, texts), k, gram).collect()}
-    assert got
-    for i, t in enumerate(texts):
-        assert got.get(i, t.split()) == want[i]
+    for hot in (suffix_array.HOT, 3):
+        got = {r.doc_id: r.text.split() for r in suffix_array.repeats(simple(spark, texts).repartition(5), k, gram, hot=hot).collect()}
+        assert got
+        for i, t in enumerate(texts):
+            assert got.get(i, t.split()) == want[i]
 
 
 def test_first_copy_stays_and_offsets_fit(spark):
@@ -78,6 +79,42 @@ def test_odd_rows(spark):
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
 
 
+def test_odd_columns(spark):
+    d = odd_docs(spark)
+    out = suffix_array.remove_repeats(d)
+    assert out.columns == d.columns and out.schema == d.schema
+    rows = out.collect()
+    assert sorted(r["doc_id"] for r in rows if r["doc_id"]) == list(range(1, 12))
+    assert next(r["text"] for r in rows if r["doc_id"] == 2) == "a second text" and all(r["a`b"] and r["removed_words"] >= 0 for r in rows)
+    assert suffix_array.remove_repeats(odd_docs(spark, [])).count() == 0
+
+
+def test_passages_with_other_neighbours_send_few_rows(spark):
+    passage = words(60, 1)
+    own = lambda side, k: " ".join(f"{side}{k}x{i}" for i in range(30))
+    texts = [f"{own('a', k)} {passage} {own('b', k)}" for k in range(400)]
+    d = simple(spark, texts).coalesce(2)
+    plain, hot = ({r.doc_id: r.text for r in suffix_array.repeats(d, hot=h).collect()} for h in (10_000, 50))
+    assert plain == hot == {k: texts[k].replace(passage + " ", "") for k in range(1, 400)}
+    batches = suffix_array._anchor_batches(50, 30)
+    sent = d.mapInArrow(batches, "anchor long, doc_id long, at int, n int").where("n > 0").groupBy("anchor").count()
+    assert sent.agg({"count": "max"}).first()[0] <= 2
+
+
+def test_first_places_over_batches():
+    rng = np.random.default_rng(1)
+    seen, least = suffix_array._Seen(), {}
+    for _ in range(30):
+        key, doc, at = rng.integers(0, 50, 40).astype(np.uint64), rng.integers(0, 99, 40), rng.integers(0, 5, 40)
+        first = seen.first(key, doc, at)
+        for k in set(key.tolist()):
+            rows = [(d, a, i) for i, (x, d, a) in enumerate(zip(key.tolist(), doc.tolist(), at.tolist())) if x == k]
+            d, a, _ = min(rows)
+            new = k not in least or (d, a) < least[k]
+            assert [i for *_, i in rows if first[i]] == ([i for x, y, i in rows if (x, y) == (d, a)][:1] if new else [])
+            least[k] = min(least.get(k, (d, a)), (d, a))
+
+
 def test_empty_table(spark):
     assert suffix_array.repeats(docs(spark, [])).count() == 0
     assert suffix_array.remove_repeats(docs(spark, [])).count() == 0
