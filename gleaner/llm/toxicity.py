@@ -10,8 +10,10 @@ are tagged 1, everything else 0.
 The CRF has two states; a token's score comes from the word, the word before and
 the word after it, a transition's from the pair of states.  It is fitted by
 gradient ascent on a bounded sample of labelled documents (``sample`` of them,
-those of least hash, so that both classes are as frequent as they are), on every
-run of words that holds a marking word and as many others.  Forward-backward runs over whole documents, all documents
+those of least hash, so that both classes are as frequent as they are, and of
+those the first that hold ``sample_words`` words in all; what reaches the driver
+are word hashes, eight bytes each), on every run of words that holds a marking
+word and as many others.  Forward-backward runs over whole documents, all documents
 of a batch side by side, in odds form.  A document's score is the probability
 that some word of it is toxic, as if words were independent, over the words with
 a marginal of at least ``NOISE``; it is toxic at ``threshold``, and the words with
@@ -20,7 +22,10 @@ a marginal of at least one half give the offending character spans.
 Nulls, empties and ties: texts without words score 0 with no spans; NULL labels
 and labels of missing documents aren't used, a doc_id labelled both ways counts
 as toxic; without labels of both kinds nothing is toxic.  Every row gets its own
-answer, repeated or NULL doc_ids included.
+answer, repeated or NULL doc_ids included; of labelled rows that repeat a doc_id
+the least text is trained on.  Very long texts are read whole; an empty table
+gives an empty result; other columns of both tables are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -30,12 +35,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import lean, scans
+from gleaner.llm.common import lean, mix, scans
 
 SAMPLE = 6000
+SAMPLE_WORDS = 4_000_000
 MIN_CONTEXTS = 5
 MIN_DOCUMENTS = 3
 MIN_ODDS = 20.0
@@ -81,15 +87,25 @@ def forward_backward(u: np.ndarray, first: np.ndarray, trans: np.ndarray, start:
 class Model:
     """Words by hash (exact), with the weights of each as the word itself, the one before and the one after."""
 
-    words: np.ndarray
-    slots: np.ndarray
+    words: np.ndarray  # ascending, and 0 for unknown words at the end
+    slots: np.ndarray  # where the words with each leading SLOTS bits start
     weights: np.ndarray  # (3, words + 1); the last is for unknown words
     trans: np.ndarray
     start: float
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        got = self.slots[hashes >> np.uint64(64 - SLOTS)]
-        return np.where(self.words[got] == hashes, got, len(self.words) - 1)
+        slot = (hashes >> np.uint64(64 - SLOTS)).astype(np.int64)
+        at, stop = self.slots[slot], self.slots[slot + 1]
+        out = np.full(len(hashes), len(self.words) - 1, np.int32)
+        rows = np.flatnonzero(at < stop)
+        while len(rows):
+            here = at[rows]
+            same = self.words[here] == hashes[rows]
+            out[rows[same]] = here[same]
+            at[rows] += 1
+            rows = rows[~same]
+            rows = rows[at[rows] < stop[rows]]
+        return out
 
     def scores(self, hashes: np.ndarray, text_of: np.ndarray) -> np.ndarray:
         i = self.ids(hashes)
@@ -105,15 +121,11 @@ def _emission(weights: np.ndarray, i: np.ndarray, text_of: np.ndarray) -> np.nda
     return u
 
 
-def _vocabulary(hashes: np.ndarray, keep_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Known words (each alone in its slot, those of keep_first winning; an unknown at the end) and the slots."""
+def _vocabulary(hashes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that occur twice or mark toxicity, an unknown one at the end, and the slots."""
     known, counts = np.unique(hashes, return_counts=True)
-    known = known[(counts > 1) | np.isin(known, keep_first)]
-    known = known[np.argsort(~np.isin(known, keep_first), kind="stable")]
-    _, at = np.unique(known >> np.uint64(64 - SLOTS), return_index=True)
-    known = known[np.sort(at)]
-    slots = np.full(1 << SLOTS, len(known), np.int32)
-    slots[known >> np.uint64(64 - SLOTS)] = np.arange(len(known))
+    known = known[(counts > 1) | np.isin(known, marks)]
+    slots = np.searchsorted(known >> np.uint64(64 - SLOTS), np.arange((1 << SLOTS) + 1, dtype=np.uint64)).astype(np.int32)
     return np.append(known, np.uint64(0)), slots
 
 
@@ -129,15 +141,17 @@ def marking_words(hashes: np.ndarray, text_of: np.ndarray, toxic: np.ndarray, mi
     label = toxic[text_of]
     found = []
     for y in (1, 0):
-        pairs = np.unique(np.stack([hashes[label == y], context[label == y]]), axis=1)
-        found.append(np.unique(pairs[0], return_counts=True) + (max(1, pairs.shape[1]),))
+        words = hashes[label == y]
+        _, at = np.unique(mix(words + np.uint64(1)) ^ context[label == y], return_index=True)
+        found.append(np.unique(words[at], return_counts=True) + (max(1, len(at)),))
     (tw, tc, tn), (cw, cc, cn) = found
     clean = np.zeros(len(tw))
     if len(cw):
         at = np.minimum(np.searchsorted(cw, tw), len(cw) - 1)
         clean = np.where(cw[at] == tw, cc[at], 0)
-    in_docs = np.unique(np.stack([hashes[label == 1], text_of[label == 1].astype(np.uint64)]), axis=1)[0]
-    spread = np.unique(in_docs, return_counts=True)[1]
+    words = hashes[label == 1]
+    _, at = np.unique(mix(words + np.uint64(2)) ^ mix(text_of[label == 1].astype(np.uint64)), return_index=True)
+    spread = np.unique(words[at], return_counts=True)[1]
     return tw[(tc >= min_contexts) & (spread >= MIN_DOCUMENTS) & ((tc / tn) >= min_odds * ((clean + 0.1) / cn))]
 
 
@@ -153,14 +167,10 @@ def _windows(mark: np.ndarray, first: np.ndarray, window: int, seed: int) -> lis
     return with_mark + [without[i] for i in sorted(pick)]
 
 
-def fit(texts: list[str], toxic: list[int], steps: int = 120, rate: float = 0.4, l2: float = 0.02, seed: int = 5) -> Model | None:
-    """A CRF from whole texts and their labels, or None where no word marks toxicity."""
-    hashes, owner, at = [], [], 0
-    for lo, hi, s in scans(pa.array(texts, pa.string())):
-        hashes.append(s.hashes)
-        owner.append(s.text_of() + lo)
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    o = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+def fit(texts: list[np.ndarray], toxic: list[int], steps: int = 120, rate: float = 0.4, l2: float = 0.02, seed: int = 5) -> Model | None:
+    """A CRF from the word hashes of whole texts and their labels, or None where no word marks toxicity."""
+    h = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+    o = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     y_doc = np.array(toxic, np.int64)
     marks = marking_words(h, o, y_doc)
     if not len(marks):
@@ -205,10 +215,6 @@ def fit(texts: list[str], toxic: list[int], steps: int = 120, rate: float = 0.4,
     return model
 
 
-def _characters(data: np.ndarray) -> int:
-    return int(np.count_nonzero((data & 0xC0) != 0x80))
-
-
 def tag_texts(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[dict]]]:
     """Score and offending character spans of each text."""
     held = list(scans(texts))
@@ -225,11 +231,14 @@ def tag_texts(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[dict
     for lo, _, s in held:
         base = first[lo]
         hot = np.flatnonzero(p[base : base + len(s.hashes)] >= 0.5)
+        if not len(hot):
+            continue
         owner = np.searchsorted(s.first, hot, "right") - 1
-        for w, i in zip(hot.tolist(), owner.tolist()):
-            x = s.base[i]
-            a = _characters(s.data[x : s.starts[w]])
-            b = a + _characters(s.data[s.starts[w] : s.ends[w]])
+        characters = np.zeros(len(s.data) + 1, np.int64)
+        np.cumsum((s.data & 0xC0) != 0x80, out=characters[1:])
+        begin = characters[s.base[owner]]
+        places = (characters[s.starts[hot]] - begin, characters[s.ends[hot]] - begin)
+        for w, i, a, b in zip(hot.tolist(), owner.tolist(), *(x.tolist() for x in places)):
             own = spans[lo + i]
             if own and own[-1]["word"] == w - 1:
                 own[-1].update(end=b, word=w)
@@ -238,19 +247,39 @@ def tag_texts(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[dict
     return score, [[{"start": x["start"], "end": x["end"]} for x in own] for own in spans]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 3) -> list:
-    """(text, toxic, doc_id) of up to ``sample`` labelled documents, those of least hash of the doc_id."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    picked = known.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).orderBy("h", "doc_id").limit(sample)
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["y"] > 0)) for r in picked.select("doc_id", "y").collect()], "id long, y int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y").collect()
-    return sorted(((r["text"] or "", r["y"], r["doc_id"]) for r in rows), key=lambda r: (r[2], r[0]))
+def word_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, y, doc_id, n, words): the hashes of a text's words, and their number."""
+    for b in batches:
+        for at, end, s in scans(b.column("text")):
+            words = [s.hashes[x:y].tobytes() for x, y in zip(s.first[:-1], s.first[1:])]
+            rows = [b.column(c).slice(at, end - at) for c in ("h", "y", "doc_id")]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(np.diff(s.first)), pa.array(words, pa.binary())], names=["h", "y", "doc_id", "n", "words"])
 
 
-def toxic_spans(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS, seed: int = 3) -> list[tuple[int, int, np.ndarray]]:
+    """(doc_id, toxic, word hashes) of up to ``sample`` labelled documents, those of least hash of the doc_id.
+
+    Of these, in the order of the hash, as many as hold ``sample_words`` words in all, and one at least.
+    """
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    h = F.xxhash64(F.lit(seed), "doc_id")
+    picked = known.withColumn("h", h).orderBy("h", "doc_id").limit(sample).select("h", "doc_id", (F.col("y") > 0).cast("int").alias("y")).toPandas()
+    if not len(picked):
+        return []
+    ids = docs.sparkSession.createDataFrame(picked, "h long, doc_id long, y int")
+    once = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("h", "y", "doc_id").agg(F.min("text").alias("text"))
+    counted = once.mapInArrow(lean(word_hashes), "h long, y int, doc_id long, n long, words binary")
+    before = F.sum("n").over(Window.orderBy("h", "doc_id")) - F.col("n")  # over ``sample`` rows at most
+    rows = counted.withColumn("before", before).where((F.col("before") + F.col("n") <= sample_words) | (F.col("before") == 0)).toArrow()
+    found = zip(rows["doc_id"].to_pylist(), rows["y"].to_pylist(), (np.frombuffer(w, np.uint64) for w in rows["words"].to_pylist()))
+    return sorted(found, key=lambda r: r[0])
+
+
+def toxic_spans(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, sample_words: int = SAMPLE_WORDS) -> DataFrame:
     """(doc_id, score, toxic, spans) for every row."""
-    rows = labelled_sample(docs, labels, sample)
-    model = fit([r[0] for r in rows], [r[1] for r in rows]) if rows else None
+    rows = labelled_sample(docs, labels, sample, sample_words)
+    model = fit([r[2] for r in rows], [r[1] for r in rows]) if rows else None
+    del rows
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
