@@ -7,9 +7,11 @@ floor(total * weight / sum of weights), repeating the source as often as it
 takes; the last document is taken in part.
 
 The order by key is a range partition: keys are uniform, so equal slices of the
-key range hold equal shares of a source, a hot source is spread over many slices
-and no window sees more than one of them.  Prefix sums are those of the slices
-plus those within a slice.
+key range hold equal shares of a source and a hot source is spread over many
+slices.  Prefix sums of the slices tell how often each is taken; only in the one
+slice of a source that its budget cuts are the documents sorted and summed up, a
+1024th of them.  So no document moves: the slices are sent to the documents (if
+they are more than ``common.BROADCAST_IDS``, a join by source and slice).
 
 Tokens are maximal runs of characters other than blank, tab, line feed, form
 feed and carriage return.  Nulls, empties and ties: a NULL source is a source of
@@ -24,15 +26,15 @@ epoch or taken already its own are called mix_epoch and mix_taken.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, like, one_each, plain
+from gleaner.llm.common import cut, like, one_each, plain, slices, small_side
 
 KEY_BITS = 48
 SLICE_BITS = 10
-BROADCAST_SOURCES = 100_000
-TOKEN = r"[^ \t\n\f\r]+"
 
 
 def random_key(seed: int) -> Column:
@@ -40,50 +42,66 @@ def random_key(seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 12, 13, 32]] = True
+
+
+def count_tokens(texts: pa.Array) -> pa.Array:
+    out = np.zeros(len(texts), np.int64)
+    for at, end, data, base in slices(texts):
+        inside = ~_BLANK[data]
+        starts = inside.copy()
+        starts[1:] &= ~inside[:-1]
+        edge = base[:-1][base[:-1] < len(data)]
+        starts[edge] = inside[edge]
+        out[at:end] = np.diff(np.append(0, np.cumsum(starts))[base])
+    return pa.array(out)
+
+
 def token_count() -> Column:
-    return F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(TOKEN)).cast("long")
-
-
-def _selection(
-    unique: DataFrame,
-    weights: dict[str, int] | None = None,
-    default_weight: int = 1,
-    budget: int | None = None,
-    seed: int = 17,
-    slice_bits: int = SLICE_BITS,
-) -> DataFrame:
-    sized = cut(
-        unique.select("doc_id", "source", token_count().alias("tokens"), random_key(seed).alias("key"))
-        .where("tokens > 0")
-        .withColumn("slice", F.shiftright("key", KEY_BITS - slice_bits))
-    )
-    slices = sized.groupBy("source", "slice").agg(F.sum("tokens").alias("slice_tokens"))
-    before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = cut(slices.withColumn("slice_start", F.coalesce(F.sum("slice_tokens").over(before), F.lit(0))))
-    weight = F.lit(default_weight)
-    for name, w in (weights or {}).items():
-        weight = F.when(F.col("source") == name, w).otherwise(weight)
-    sources = cut(slices.groupBy("source").agg(F.sum("slice_tokens").alias("source_tokens")).withColumn("weight", weight.cast("long")))
-    total = sources.agg(F.sum("source_tokens").alias("t"), F.sum("weight").alias("w")).first()
-    goal = (total["t"] or 0) if budget is None else budget
-    # exact whole numbers: the product may pass 2**63
-    share = F.floor(F.lit(goal).cast("decimal(19,0)") * F.col("weight").cast("decimal(18,0)") / F.lit(total["w"] or 1).cast("decimal(18,0)"))
-    goals = sources.select(F.col("source").alias("s"), "source_tokens", share.cast("long").alias("goal"))
-    if sources.count() <= BROADCAST_SOURCES:
-        goals = F.broadcast(goals)
-    running = Window.partitionBy("source", "slice").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        sized.withColumn("within", F.coalesce(F.sum("tokens").over(running), F.lit(0)))
-        .join(slices.withColumnsRenamed({"source": "s", "slice": "p"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("p")))
-        .drop("s", "p")
-        .join(goals, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("start", F.col("slice_start") + F.col("within"))
-        .where("start < goal")
-    )
-    # epoch e of a document starts at start + e * source_tokens and counts while that is below the goal
-    last = F.floor((F.col("goal") - 1 - F.col("start")) / F.col("source_tokens")).cast("int")
-    taken = F.least("tokens", F.col("goal") - F.col("start") - F.col("epoch") * F.col("source_tokens"))
-    return placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), last))).select("doc_id", "source", "epoch", "tokens", taken.alias("taken"))
+    # called nondeterministic so that it isn't pushed into a filter and computed twice
+    return F.arrow_udf(count_tokens, "long").asNondeterministic()(F.col("text"))
+
+
+class _Layout:
+    """How often each slice is taken, and what is taken of the documents in the slices that are cut."""
+
+    def __init__(self, unique: DataFrame, weights: dict[str, int] | None = None, default_weight: int = 1, budget: int | None = None, seed: int = 17, slice_bits: int = SLICE_BITS) -> None:
+        self.slice = F.shiftright(random_key(seed), KEY_BITS - slice_bits)
+        sized = unique.select("doc_id", "source", random_key(seed).alias("key"), token_count().alias("tokens"))
+        self.sized = cut(sized.where("tokens > 0").withColumn("slice", F.shiftright("key", KEY_BITS - slice_bits)))
+        sums = self.sized.groupBy("source", "slice").agg(F.sum("tokens").alias("slice_tokens"))
+        before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        sums = cut(sums.withColumn("slice_start", F.coalesce(F.sum("slice_tokens").over(before), F.lit(0))))
+        weight = F.lit(default_weight)
+        for name, w in (weights or {}).items():
+            weight = F.when(F.col("source") == name, w).otherwise(weight)
+        sources = cut(sums.groupBy("source").agg(F.sum("slice_tokens").alias("source_tokens")).withColumn("weight", weight.cast("long")))
+        total = sources.agg(F.sum("source_tokens").alias("t"), F.sum("weight").alias("w")).first()
+        goal = (total["t"] or 0) if budget is None else budget
+        # exact whole numbers: the product may pass 2**63
+        share = F.floor(F.lit(goal).cast("decimal(19,0)") * F.col("weight").cast("decimal(18,0)") / F.lit(total["w"] or 1).cast("decimal(18,0)"))
+        goals = sources.select(F.col("source").alias("s"), "source_tokens", share.cast("long").alias("goal"))
+        full, rest = F.expr("goal div source_tokens"), F.expr("goal % source_tokens")
+        times = F.when(F.col("slice_start") + F.col("slice_tokens") <= rest, full + 1).when(F.col("slice_start") >= rest, full)
+        self.slices = small_side(sums.join(goals, F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("slice").alias("p"), "slice_start", "source_tokens", "goal", times.alias("times")))
+        running = Window.partitionBy("source", "slice").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        inside = self.on(self.sized, F.col("slice")).where("times is null").withColumn("start", F.col("slice_start") + F.coalesce(F.sum("tokens").over(running), F.lit(0)))
+        # epoch e of a document starts at start + e * source_tokens and counts while that is below the goal
+        inside = inside.where("start < goal").withColumn("cut_times", F.expr("(goal - 1 - start) div source_tokens + 1"))
+        last = F.least("tokens", F.col("goal") - F.col("start") - (F.col("cut_times") - 1) * F.col("source_tokens"))
+        self.documents = small_side(inside.select(F.col("doc_id").alias("cut_id"), F.col("tokens").alias("cut_tokens"), F.col("cut_times").alias("n"), last.alias("last")))
+
+    def on(self, rows: DataFrame, place: Column) -> DataFrame:
+        return rows.join(self.slices, F.col("source").eqNullSafe(F.col("s")) & (place == F.col("p")))
+
+    def place(self, rows: DataFrame, tokens: Column) -> DataFrame:
+        """``rows`` (doc_id, source, slice, ...), one for each epoch, with tokens, epoch and taken."""
+        rows = self.on(rows, F.col("slice"))
+        whole = rows.where("times > 0").select("*", tokens.alias("tokens")).where("tokens > 0").select("*", F.col("times").alias("n"), F.col("tokens").alias("last"))
+        part = rows.where("times is null").join(self.documents, F.col("doc_id") == F.col("cut_id")).select(*rows.columns, F.col("cut_tokens").alias("tokens"), "n", "last")
+        each = whole.unionByName(part).withColumn("epoch", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+        return each.withColumn("taken", F.when(F.col("epoch") == F.col("n") - 1, F.col("last")).otherwise(F.col("tokens")))
 
 
 def selection(docs: DataFrame, **params) -> DataFrame:
@@ -91,14 +109,15 @@ def selection(docs: DataFrame, **params) -> DataFrame:
 
     budget: tokens in all, by default those of the corpus; weights by source, default_weight for the others.
     """
-    return _selection(one_each(plain(docs, "doc_id", "text", "source").select("doc_id", "text", "source")), **params)
+    layout = _Layout(one_each(plain(docs, "doc_id", "text", "source").select("doc_id", "text", "source")), **params)
+    return layout.place(layout.sized.withColumnRenamed("tokens", "counted"), F.col("counted")).select("doc_id", "source", "epoch", "tokens", "taken")
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The mixed corpus: the columns of ``docs`` plus epoch and taken; a part of a text is cut to its taken tokens."""
     unique = one_each(plain(docs, "doc_id", "text", "source", "n_chars"))
-    chosen = _selection(unique, **params).select("doc_id", "epoch", "tokens", "taken")
-    rows = unique.join(chosen, "doc_id")
+    layout = _Layout(unique, **params)
+    rows = layout.place(unique.withColumn("slice", layout.slice), token_count())
     tokens = F.expr("slice(regexp_extract_all(text, '(?s)[ \\t\\n\\f\\r]*[^ \\t\\n\\f\\r]+', 0), 1, int(taken))")
     part = F.col("taken") < F.col("tokens")
     text = F.when(part, F.array_join(tokens, "")).otherwise(F.col("text"))
