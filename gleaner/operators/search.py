@@ -1,11 +1,19 @@
-"""Ranked retrieval over postings: any number of queries in one job."""
+"""Ranked retrieval: any number of queries in one job, over saved postings or straight over documents.
+
+Over documents only the terms asked for are counted: they go to the scan as a
+broadcast, so that what moves are hits and not tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions import text
+from gleaner.config import Bm25
+from gleaner.functions import scoring, text
+from gleaner.operators import index
+
+BROADCAST_ROWS = 1_000_000
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -19,6 +27,29 @@ def scores(posts: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "doc").agg(F.sum("score").alias("score"), F.min("at").alias("first"))
 
 
+def matches(docs: DataFrame, queries: DataFrame, p: Bm25 = Bm25()) -> DataFrame:
+    """``scores`` of the documents (doc, length, terms) without an index of their other terms."""
+    asked = query_terms(queries)
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sized = F.broadcast if few else (lambda rows: rows)
+    tokens = docs.select("doc", "length", F.posexplode("terms").alias("position", "term")).join(sized(asked.select("term").distinct()), "term")
+    tf = tokens.groupBy("doc", "length", "term").agg(F.count("*").alias("tf"), F.min("position").alias("first"))
+    df = sized(tf.groupBy("term").agg(F.count("*").alias("df")))
+    score = scoring.bm25(F.col("tf"), F.col("length"), F.col("average"), scoring.bm25_idf(F.col("n"), F.col("df")), p)
+    scored = tf.join(df, "term").crossJoin(F.broadcast(index.corpus_stats(docs))).select("term", "doc", score.alias("score"), "first")
+    return scored.join(sized(asked), "term").groupBy("query_id", "doc").agg(F.sum("score").alias("score"), F.min("first").alias("first"))
+
+
+def find(docs: DataFrame, queries: DataFrame, n: int = 10, context: int = 20, key: str = "doc_id", body: str = "text") -> DataFrame:
+    """``search`` straight over documents (key, body): snippets are cut from those found only."""
+    best = top(matches(index.documents(docs, key, body), queries), n)
+    if queries.limit(BROADCAST_ROWS // n + 1).count() * n <= BROADCAST_ROWS:
+        best = F.broadcast(best)
+    found = docs.select(F.col(key).alias("doc"), F.col(body).alias("body")).join(best, "doc")
+    snippet = text.hit_snippet(text.tokenize(F.coalesce("body", F.lit(""))), F.col("first"), context)
+    return found.select("query_id", "rank", "score", "doc", snippet.alias("snippet"))
+
+
 def top(scored: DataFrame, n: int) -> DataFrame:
     """The n best of each query; equal scores (to 9 places) go by document."""
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc")

@@ -15,7 +15,7 @@ POS = f"{DOCS}, pos AS (SELECT doc, length, unnest(terms) AS term, unnest(range(
 TF = f"{POS}, tf AS (SELECT doc, length, term, count(*) AS tf, list(position ORDER BY position) AS positions FROM pos GROUP BY ALL)"
 POSTINGS = f"""{TF}, dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term), st AS (SELECT count(*) AS n, avg(length) AS a FROM docs),
 postings AS (SELECT term, doc, tf, positions, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / a)) AS score FROM tf JOIN dfs USING (term), st)"""
-ASKED = f"asked AS (SELECT item_id, unnest(list_distinct({TOKENS.format('q')})) AS term FROM (SELECT item_id, array_to_string(({TOKENS.format('text')})[1:3], ' ') AS q FROM benchmark))"
+ASKED = f"asked AS (SELECT item_id, unnest(list_distinct({TOKENS.format('q')})) AS term FROM (SELECT item_id, text AS q FROM benchmark))"
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,8 +23,8 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.array_join(F.slice(text.tokenize(F.col("text")), 1, 3), " ")
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("query"))
+    """The whole text of every benchmark item as a query."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query("tokenize_terms", f"WITH {DOCS} SELECT doc AS doc_id, length::INTEGER AS length, array_to_string(terms, ' ') AS terms FROM docs")
@@ -82,7 +82,7 @@ def tfidf_scores(spark, sf):
 @query("bm25_postings", f"WITH {POSTINGS} SELECT term, doc, tf, round(score, 6) AS score, len(positions)::INTEGER AS hits, positions[1]::INTEGER AS first FROM postings")
 def bm25_postings(spark, sf):
     p = index.postings(_docs(spark, sf))
-    return p.select("term", "doc", "tf", F.round("score", 6).alias("score"), F.size("positions").alias("hits"), "first")
+    return p.select("term", "doc", "tf", F.round("score", 6).alias("score"), F.col("tf").cast("int").alias("hits"), "first")
 
 
 @query("inverted_index_nested", f"WITH {POSTINGS} SELECT term, count(*)::INTEGER AS docs, string_agg(doc || ':' || array_to_string(positions, ','), ' ' ORDER BY doc) AS postings FROM postings GROUP BY term")
@@ -96,7 +96,7 @@ SCORED = f"WITH {POSTINGS}, {ASKED}, scored AS (SELECT item_id AS query_id, doc,
 
 @query("batch_search_topk", f"{SCORED} SELECT query_id, rank::INTEGER AS rank, round(score, 6) AS score, doc FROM ranked WHERE rank <= 100")
 def batch_search_topk(spark, sf):
-    best = search.top(search.scores(index.postings(_docs(spark, sf)), _queries(spark, sf)), 100)
+    best = search.top(search.matches(_docs(spark, sf), _queries(spark, sf)), 100)
     return best.select("query_id", "rank", F.round("score", 6).alias("score"), "doc")
 
 
@@ -106,19 +106,17 @@ SNIPPET = """CASE WHEN first - 20 > 0 THEN '... ' ELSE '' END || array_to_string
 
 @query("search_snippets", f"{SCORED} SELECT query_id, rank::INTEGER AS rank, doc, {SNIPPET} AS snippet FROM ranked JOIN docs USING (doc) WHERE rank <= 10")
 def search_snippets(spark, sf):
-    docs = _docs(spark, sf)
-    return search.search(index.postings(docs), docs, _queries(spark, sf)).select("query_id", "rank", "doc", "snippet")
+    return search.find(table(spark, sf, "documents"), _queries(spark, sf)).select("query_id", "rank", "doc", "snippet")
 
 
 @query("search_topk", f"{SCORED} SELECT query_id, rank::INTEGER AS rank, round(score, 6) AS score, doc, {SNIPPET} AS snippet FROM ranked JOIN docs USING (doc) WHERE rank <= 10 AND query_id = 0")
 def search_topk(spark, sf):
-    docs = _docs(spark, sf)
-    return search.search(index.postings(docs), docs, _queries(spark, sf).where("query_id = 0")).withColumn("score", F.round("score", 6))
+    return search.find(table(spark, sf, "documents"), _queries(spark, sf).where("query_id = 0")).withColumn("score", F.round("score", 6))
 
 
 @query("run_file_export", f"{SCORED} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS rank, 'http://docs/' || doc AS url, printf('%.4f', round(score, 9)) AS score FROM ranked WHERE rank <= 100 AND doc % 7 <> 0")
 def run_file_export(spark, sf):
-    best = search.top(search.scores(index.postings(_docs(spark, sf)), _queries(spark, sf)), 100).withColumn("score", F.round("score", 9))
+    best = search.top(search.matches(_docs(spark, sf), _queries(spark, sf)), 100).withColumn("score", F.round("score", 9))
     return search.run_file(best.withColumn("url", F.when(F.col("doc") % 7 != 0, F.concat(F.lit("http://docs/"), F.col("doc").cast("string")))))
 
 
