@@ -51,17 +51,8 @@ def link_label_stats(spark, sf):
     return labeling.label_stats(_links(spark, sf))
 
 
-@query("link_relabel_export", f"WITH {LINKS} SELECT id, linkverdict_score, row_number() OVER (ORDER BY coalesce(abs(linkverdict_score - 0.5), 0), target_url, parent_url, id)::INTEGER AS rank FROM lr ORDER BY rank LIMIT 500")
+@query("link_relabel_export", f"WITH {LINKS} SELECT id, linkverdict_score, row_number() OVER (ORDER BY coalesce(abs(linkverdict_score - 0.5), 0), target_url, parent_url, id) AS rank FROM lr")
 def link_relabel_export(spark, sf):
-    from pyspark.sql import Window
-
-    e = labeling.link_export(_links(spark, sf)).limit(500)
-    w = Window.orderBy(F.coalesce(F.abs(F.col("linkverdict_score") - 0.5), F.lit(0.0)), "target_url", "parent_url", "id")
-    return e.select("id", "linkverdict_score", F.row_number().over(w).alias("rank"))
-
-
-@query("link_relabel_export_all", f"WITH {LINKS} SELECT id, linkverdict_score, row_number() OVER (ORDER BY coalesce(abs(linkverdict_score - 0.5), 0), target_url, parent_url, id) AS rank FROM lr")
-def link_relabel_export_all(spark, sf):
     """Every link, as the crawler's export has them."""
     return labeling.ranked_export(_links(spark, sf)).select("id", "linkverdict_score", "rank")
 
@@ -136,30 +127,6 @@ def simhash_md5(spark, sf):
     return fp.select("doc_id", F.shiftrightunsigned("fp", 32).alias("high"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("low"))
 
 
-def _toy(spark, sf):
-    """A 64-bit digest of the text's first 40 characters with up to two low bits of the id flipped: near pairs for SQL to find."""
-    h = F.conv(F.substring(F.md5(F.substring("text", 1, 40)), 1, 15), 16, 10).cast("long")
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), h.bitwiseXOR(F.col("doc_id") % 4).alias("fp"))
-
-
-TOY = "toy AS (SELECT doc_id AS id, xor(('0x' || substr(md5(substr(text, 1, 40)), 1, 15))::BIGINT, doc_id % 4) AS fp FROM documents)"
-
-
-@query("near_duplicate_pairs", f"WITH {TOY} SELECT x.id AS a, y.id AS b, bit_count(xor(x.fp, y.fp))::INTEGER AS distance FROM toy x JOIN toy y ON x.id < y.id AND bit_count(xor(x.fp, y.fp)) <= 3")
-def near_duplicate_pairs(spark, sf):
-    return dedup.near_pairs(_toy(spark, sf))
-
-
-@query("greedy_dedup", f"""WITH RECURSIVE {TOY}, e AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM toy x JOIN toy y ON x.id < y.id AND bit_count(xor(x.fp, y.fp)) <= 3),
-n AS MATERIALIZED (SELECT b AS id, list(a) AS earlier FROM e GROUP BY b), o AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS r FROM n),
-g AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS dropped UNION ALL
- SELECT g.r + 1, CASE WHEN len(list_filter(n.earlier, lambda a: NOT list_contains(g.dropped, a))) > 0 THEN list_append(g.dropped, n.id) ELSE g.dropped END FROM g JOIN o ON o.r = g.r + 1 JOIN n ON n.id = o.id),
-d AS (SELECT unnest(dropped) AS id FROM (SELECT dropped FROM g ORDER BY r DESC LIMIT 1))
-SELECT toy.id, d.id IS NULL AS kept FROM toy LEFT JOIN d USING (id)""")
-def greedy_dedup(spark, sf):
-    return dedup.greedy_keep(_toy(spark, sf))
-
-
 def _prints(spark, sf):
     """The fingerprint of every whole text."""
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), dedup.fingerprint_md5(F.col("text")).alias("fp"))
@@ -171,18 +138,18 @@ prints AS MATERIALIZED (SELECT documents.doc_id AS id, coalesce(high, 0) AS high
 near AS MATERIALIZED (SELECT x.id AS a, y.id AS b, (bit_count(xor(x.high, y.high)) + bit_count(xor(x.low, y.low)))::INTEGER AS distance FROM prints x JOIN prints y ON x.id < y.id AND bit_count(xor(x.high, y.high)) + bit_count(xor(x.low, y.low)) <= 3)"""
 
 
-@query("text_near_duplicate_pairs", f"WITH {PRINTS} SELECT a, b, distance FROM near")
-def text_near_duplicate_pairs(spark, sf):
-    """Pairs over the fingerprints of whole texts."""
+@query("near_duplicate_pairs", f"WITH {PRINTS}, rep AS (SELECT high, low, min(id) AS id FROM prints GROUP BY ALL) SELECT near.* FROM near JOIN rep x ON a = x.id JOIN rep y ON b = y.id UNION ALL SELECT rep.id, prints.id, 0 FROM prints JOIN rep USING (high, low) WHERE prints.id <> rep.id")
+def near_duplicate_pairs(spark, sf):
+    """Pairs between the classes of equal fingerprints of whole texts, and the members of the classes."""
     return dedup.near_pairs(_prints(spark, sf))
 
 
-@query("text_greedy_dedup", f"""WITH RECURSIVE {PRINTS}, n AS MATERIALIZED (SELECT b AS id, list(a) AS earlier FROM near GROUP BY b), o AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS r FROM n),
+@query("greedy_dedup", f"""WITH RECURSIVE {PRINTS}, n AS MATERIALIZED (SELECT b AS id, list(a) AS earlier FROM near GROUP BY b), o AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS r FROM n),
 g AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS dropped UNION ALL
  SELECT g.r + 1, CASE WHEN len(list_filter(n.earlier, lambda a: NOT list_contains(g.dropped, a))) > 0 THEN list_append(g.dropped, n.id) ELSE g.dropped END FROM g JOIN o ON o.r = g.r + 1 JOIN n ON n.id = o.id),
 d AS (SELECT unnest(dropped) AS id FROM (SELECT dropped FROM g ORDER BY r DESC LIMIT 1))
 SELECT prints.id, d.id IS NULL AS kept FROM prints LEFT JOIN d USING (id)""")
-def text_greedy_dedup(spark, sf):
+def greedy_dedup(spark, sf):
     """The first of near whole texts stays."""
     return dedup.greedy_keep(_prints(spark, sf))
 

@@ -135,8 +135,8 @@ def test_near_pairs_read_the_whole_text(spark, tmp_path):
     opening = "the same opening of every page on this site, word for word "
     texts = ["first " + body[0], "second " + body[0], opening + body[1], opening + body[2]]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert {(r.a, r.b) for r in labels.text_near_duplicate_pairs(spark, str(tmp_path)).collect()} == {(0, 1)}
-    assert {r.id for r in labels.text_greedy_dedup(spark, str(tmp_path)).where("kept").collect()} == {0, 2, 3}
+    assert {(r.a, r.b) for r in labels.near_duplicate_pairs(spark, str(tmp_path)).collect()} == {(0, 1)}
+    assert {r.id for r in labels.greedy_dedup(spark, str(tmp_path)).where("kept").collect()} == {0, 2, 3}
 
 
 def test_export_ranks_every_link(spark):

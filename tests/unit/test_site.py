@@ -79,7 +79,28 @@ def test_greedy_chain(spark):
     prints = spark.createDataFrame([(1, 0), (2, 0b111), (3, 0b111111), (4, 0), (5, 0xFF << 50)], "id long, fp long")
     assert {r.id: r.kept for r in dedup.greedy_keep(prints).collect()} == {1: True, 2: False, 3: True, 4: False, 5: True}
     pairs = {(r.a, r.b): r.distance for r in dedup.near_pairs(prints).collect()}
-    assert pairs == {(1, 2): 3, (2, 3): 3, (1, 4): 0, (2, 4): 3}
+    assert pairs == {(1, 2): 3, (2, 3): 3, (1, 4): 0}  # 4 is a member of 1's class
+
+
+def test_near_pairs_against_all_pairs(spark):
+    import random
+
+    r = random.Random(4)
+    fps = [r.getrandbits(64) - (1 << 63) for _ in range(40)]
+    for k in range(400):
+        f = r.choice(fps[:40])
+        for bit in r.sample(range(64), k % 5):
+            f ^= 1 << bit if bit < 63 else -(1 << 63)
+        fps.append(f)
+    fps += fps[:7]
+    far = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    least = {}
+    for i, f in enumerate(fps):
+        least.setdefault(f, i)
+    want = {(least[f], i): 0 for i, f in enumerate(fps) if least[f] != i}
+    want |= {(i, j): far(f, g) for f, i in least.items() for g, j in least.items() if i < j and far(f, g) <= 3}
+    got = dedup.near_pairs(spark.createDataFrame(list(enumerate(fps)), "id long, fp long")).collect()
+    assert len(got) == len(want) > 400 and {(x.a, x.b): x.distance for x in got} == want
 
 
 def test_greedy_against_one_by_one(spark):
