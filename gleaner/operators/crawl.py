@@ -96,7 +96,7 @@ def fetched(picked: DataFrame, web: DataFrame) -> DataFrame:
 
 def evaluated(got: DataFrame, saved: DataFrame, page_score: Callable[[], Column], s: Settings, number: int) -> DataFrame:
     """Every fetched page with its exclusion_reason, NULL for those to save, and the hrefs to follow."""
-    parsed = html.parse_pages(got).drop("main_text").withColumnRenamed("url", "u")
+    parsed = html.parse_pages(got, fields=("title", "language", "description", "h1", "links", "text")).withColumnRenamed("url", "u")
     rows = got.drop("html").join(parsed, got["url"] == parsed["u"]).drop("u").withColumn("fp", dedup.fingerprint(F.col("text")))
     judged = pages.judged(rows, page_score(), s.topic, s.gate)
     bad = F.when(~F.col("status_code").between(200, 299), "bad_status").when(~F.coalesce(F.col("content_type").ilike("text/html%"), F.lit(True)), "non_html").when(F.trim("text") == "", "empty_text")

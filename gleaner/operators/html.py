@@ -41,10 +41,10 @@ BAD = tuple("breadcrumb toolbar search login social share cookie advert promo re
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    __slots__ = ("tag", "attrs", "parent", "children", "sums")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None) -> None:
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.tag, self.attrs, self.parent, self.children, self.sums = tag, attrs, parent, [], (0, 0, 0, 0, 0, 0)
 
     def walk(self) -> Iterator[Node]:
         stack = [c for c in reversed(self.children) if isinstance(c, Node)]
@@ -70,9 +70,6 @@ class Node:
         """Text pieces as they stand, blanks collapsed."""
         return " ".join("".join(self.strings()).split())
 
-    def drop(self) -> None:
-        self.parent.children.remove(self)
-
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:
@@ -135,10 +132,13 @@ def parse(markup: str) -> _Builder:
     return b
 
 
-def _strip(tree: _Builder, unwanted) -> None:
-    for n in list(tree.root.walk()):
-        if n.parent is not None and n in n.parent.children and unwanted(n):
-            n.drop()
+def _strip(root: Node, unwanted) -> None:
+    """Cuts every unwanted element off the tree."""
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        n.children = [c for c in n.children if not (isinstance(c, Node) and unwanted(c))]
+        stack.extend(c for c in n.children if isinstance(c, Node))
 
 
 def _classes(n: Node) -> set[str]:
@@ -162,91 +162,138 @@ def _strong(n: Node) -> bool:
     return n.tag == "main" or n.attrs.get("role") == "main" or n.attrs.get("id") in STRONG_IDS or bool(_classes(n) & STRONG_CLASSES)
 
 
+def _add_up(root: Node) -> list[Node]:
+    """Sets the ``sums`` of all nodes, from the leaves up; the nodes below root in page order.
+
+    sums: characters in words, words, and of the nodes below the size of links and of paragraphs, the number of
+    paragraphs and of headings.
+    """
+    nodes = list(root.walk())
+    for n in (*reversed(nodes), root):
+        chars = words = links = paragraphs = count = heads = 0
+        for c in n.children:
+            if isinstance(c, Node):
+                own = c.sums
+                size = _size(c)
+                chars, words = chars + own[0], words + own[1]
+                links += own[2] + (size if c.tag == "a" else 0)
+                paragraphs += own[3] + (size if c.tag == "p" else 0)
+                count += own[4] + (c.tag == "p")
+                heads += own[5] + (c.tag in ("h1", "h2", "h3"))
+            else:
+                pieces = c.split()
+                chars, words = chars + sum(map(len, pieces)), words + len(pieces)
+        n.sums = (chars, words, links, paragraphs, count, heads)
+    return nodes
+
+
+def _size(n: Node) -> int:
+    """Characters of ``words``."""
+    return n.sums[0] + max(n.sums[1] - 1, 0)
+
+
 def content_score(n: Node) -> float:
-    """How much a container looks like the page's main content; minus infinity below 80 characters."""
-    size = len(n.words())
+    """How much a container (with sums) looks like the page's main content; minus infinity below 80 characters."""
+    size = _size(n)
     if size < 80:
         return float("-inf")
-    inner = list(n.walk())
-    paragraphs = [x for x in inner if x.tag == "p"]
-    density = min(sum(len(x.words()) for x in inner if x.tag == "a") / size, 1.0)
-    score = size * (1 - 0.85 * density)
-    score += 0.5 * min(sum(len(x.words()) for x in paragraphs), 8000) + 35 * min(len(paragraphs), 30)
-    score += 60 * min(sum(x.tag in ("h1", "h2", "h3") for x in inner), 10)
+    _, _, links, paragraphs, count, heads = n.sums
+    score = size * (1 - 0.85 * min(links / size, 1.0))
+    score += 0.5 * min(paragraphs, 8000) + 35 * min(count, 30) + 60 * min(heads, 10)
     score += {"main": 1200, "article": 600}.get(n.tag, 0) + (1000 if n.attrs.get("role") == "main" else 0)
     hints = " ".join(v for v in map(n.attrs.get, ("id", "class", "role")) if v).lower()
     return score + 500 * any(h in hints for h in GOOD) - 1000 * any(h in hints for h in BAD)
 
 
 def _best(nodes: list[Node]) -> Node | None:
-    best = max(nodes, key=content_score, default=None)
-    return best if best is not None and content_score(best) > 0 else None
+    scored = [(content_score(n), n) for n in nodes]
+    best = max(scored, key=lambda x: x[0], default=(0.0, None))
+    return best[1] if best[0] > 0 else None
+
+
+def _chunks(root: Node) -> Iterator[Node]:
+    """The outermost text blocks below root."""
+    stack = [c for c in reversed(root.children) if isinstance(c, Node)]
+    while stack:
+        n = stack.pop()
+        if n.tag in CHUNKS:
+            yield n
+        else:
+            stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
 
 
-def _inside(n: Node, tags: frozenset, root: Node) -> bool:
-    n = n.parent
-    while n is not None and n is not root:
-        if n.tag in tags:
-            return True
-        n = n.parent
-    return False
+def _breaks_to_blanks(root: Node) -> None:
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        n.children = [" " if isinstance(c, Node) and c.tag == "br" else c for c in n.children]
+        stack.extend(c for c in n.children if isinstance(c, Node))
 
 
 def main_text(tree: _Builder) -> str:
     """The page's main text; changes the tree."""
-    _strip(tree, lambda n: n.tag in RAW)
-    _strip(tree, _boilerplate)
+    _strip(tree.root, lambda n: n.tag in RAW)
+    _strip(tree.root, _boilerplate)
     body = tree.body
-    inner = list(body.walk())
+    inner = _add_up(body)
     root = _best([n for n in inner if _strong(n)]) or _best([n for n in inner if n.tag in ("article", "section", "div")]) or body
-    for n in list(root.walk()):
-        if n.tag == "br":
-            n.parent.children[n.parent.children.index(n)] = " "
+    _breaks_to_blanks(root)
     chunks: list[str] = []
-    heading = next((n for n in body.walk() if n.tag == "h1"), None)
-    within = {id(root), *(id(n) for n in root.walk())}
-    if heading is not None and id(heading) not in within and heading.joined():
+    heading = next((n for n in inner if n.tag == "h1"), None)
+    above = heading
+    while above is not None and above is not root:
+        above = above.parent
+    if heading is not None and above is None and heading.joined():
         chunks.append(heading.joined())
-    for n in root.walk():
-        if n.tag in CHUNKS and not _inside(n, CHUNKS, root):
-            t = n.joined()
-            if t and (not chunks or chunks[-1] != t):
-                chunks.append(t)
+    for n in _chunks(root):
+        t = n.joined()
+        if t and (not chunks or chunks[-1] != t):
+            chunks.append(t)
     return " ".join(chunks) if chunks else root.words()
 
 
-def page_parts(tree: _Builder) -> dict:
-    """Title, declared language, description, h1, links and body text."""
-    nodes = list(tree.root.walk())
+FIELDS = {"title": "string", "language": "string", "description": "string", "h1": "string", "links": "array<struct<href:string,anchor:string>>", "text": "string", "main_text": "string"}
+_LINKS = pa.list_(pa.struct([("href", pa.string()), ("anchor", pa.string())]))
+
+
+def page_fields(tree: _Builder, fields: tuple[str, ...] = tuple(FIELDS)) -> dict:
+    """The asked of title, declared language, description, h1, links, body text and main text; changes the tree."""
+    nodes = list(tree.root.walk()) if set(fields) & {"title", "description", "h1", "links"} else []
     first = lambda tag: next((n.joined() for n in nodes if n.tag == tag), "")
     meta = lambda key, value: next((t for n in nodes if n.tag == "meta" and n.attrs.get(key, "").lower() == value and (t := " ".join(n.attrs.get("content", "").split()))), "")
-    lang = tree.root.attrs.get("lang", "").strip().lower()[:2]
-    links = [{"href": n.attrs["href"], "anchor": n.words()} for n in nodes if n.tag == "a" and n.attrs.get("href")]
-    out = {"title": first("title"), "language": lang if lang in ("en", "de") else "unknown", "description": meta("name", "description") or meta("property", "og:description"), "h1": first("h1"), "links": links}
-    _strip(tree, lambda n: n.tag in RAW)
-    return out | {"text": tree.body.words()}
 
+    def text() -> str:
+        _strip(tree.root, lambda n: n.tag in RAW)
+        return tree.body.words()
+
+    def language() -> str:
+        lang = tree.root.attrs.get("lang", "").strip().lower()[:2]
+        return lang if lang in ("en", "de") else "unknown"
 
-PARTS = "title string, language string, description string, h1 string, links array<struct<href:string,anchor:string>>, text string"
-_KIND = pa.struct([("title", pa.string()), ("language", pa.string()), ("description", pa.string()), ("h1", pa.string()), ("links", pa.list_(pa.struct([("href", pa.string()), ("anchor", pa.string())]))), ("text", pa.string())])
+    take = {
+        "title": lambda: first("title"),
+        "language": language,
+        "description": lambda: meta("name", "description") or meta("property", "og:description"),
+        "h1": lambda: first("h1"),
+        "links": lambda: [{"href": n.attrs["href"], "anchor": n.words()} for n in nodes if n.tag == "a" and n.attrs.get("href")],
+        "text": text,
+        "main_text": lambda: main_text(tree),
+    }
+    return {name: f() for name, f in take.items() if name in fields}
 
 
-def parse_pages(pages: DataFrame, key: str = "url", body: str = "html") -> DataFrame:
-    """(key, title, language, description, h1, links, text, main_text), a row a page; NULL markup counts as empty."""
+def parse_pages(pages: DataFrame, key: str = "url", body: str = "html", fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
+    """(key, fields...), a row a page, each page parsed once; NULL markup counts as empty."""
     kind = pages.schema[key].dataType.simpleString()
+    names = [f for f in FIELDS if f in fields]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts, texts = [], []
-            for markup in b.column(1).to_pylist():
-                parts.append(page_parts(parse(markup or "")))
-                texts.append(main_text(parse(markup or "")))
-            rows = pa.array(parts, _KIND)
-            yield pa.RecordBatch.from_arrays([b.column(0), *rows.flatten(), pa.array(texts, pa.string())], names=[key, *(f.name for f in _KIND), "main_text"])
-
-    return pages.select(key, body).mapInArrow(run, f"{key} {kind}, {PARTS}, main_text string")
-
+            rows = [page_fields(parse(markup or ""), tuple(names)) for markup in b.column(1).to_pylist()]
+            columns = [pa.array([r[f] for r in rows], _LINKS if f == "links" else pa.string()) for f in names]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[key, *names])
 
+    return pages.select(key, body).mapInArrow(run, ", ".join([f"{key} {kind}", *(f"{f} {FIELDS[f]}" for f in names)]))
 
 
 def plain(markup: str) -> str:

@@ -26,3 +26,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is heavy a byte: where its scan has fewer tasks than the cluster runs, rows are dealt out."""
+    rows, tasks = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
