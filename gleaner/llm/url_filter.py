@@ -15,7 +15,9 @@ Nulls, empties and ties: of entries of one pattern at one time 'block' wins over
 'allow' and that over NULL; entries with a NULL or empty pattern or a NULL time
 count as absent.  A capture with a NULL or unparsable url or a NULL time matches
 nothing; what matches nothing isn't blocked.  Repeated captures (all key columns
-equal) give one row; other columns are dropped.
+equal) give one row; other columns are dropped, whatever their names.  A very
+long url has a pattern for each segment of its path, all of which count; an empty
+table of captures gives an empty result, an empty list blocks nothing.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import BROADCAST_IDS, cut
+
 AUTHORITY = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@\[\]]+)"
 PATH = r"^[a-z][a-z0-9+.\-]*://[^/?#]*/([^?#]*)"
 
@@ -58,12 +62,22 @@ def intervals(entries: DataFrame) -> DataFrame:
     return once.withColumn("valid_to", F.lead("valid_from").over(w)).where("verdict is not null")
 
 
-def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """(page_id, url, fetched_at, pattern, verdict, blocked), a row for every distinct capture."""
+def evaluate(captures: DataFrame, entries: DataFrame, broadcast_limit: int = BROADCAST_IDS) -> DataFrame:
+    """(page_id, url, fetched_at, pattern, verdict, blocked), a row for every distinct capture.
+
+    A list of up to ``broadcast_limit`` intervals is sent to the captures, whose patterns are then joined and
+    reduced to the longest before anything moves; a longer one is joined by pattern with the hashes of captures.
+    """
     keys = ["page_id", "url", "fetched_at"]
-    active = intervals(entries).withColumnRenamed("pattern", "listed")
-    candidates = captures.select(*keys, F.explode_outer(patterns(F.col("url"))).alias("candidate"))
+    active = cut(intervals(entries).withColumnRenamed("pattern", "listed"))
     at = (F.col("candidate") == F.col("listed")) & (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     best = F.max(F.when(F.col("listed").isNotNull(), F.struct(F.length("listed").alias("n"), F.col("listed").alias("pattern"), "verdict"))).alias("best")
-    joined = candidates.join(active, at, "left").groupBy(*keys).agg(best)
-    return joined.select(*keys, "best.pattern", "best.verdict", F.coalesce(F.col("best.verdict") == "block", F.lit(False)).alias("blocked"))
+    if active.count() <= broadcast_limit:
+        candidates = captures.select(*keys, F.explode_outer(patterns(F.col("url"))).alias("candidate"))
+        judged = candidates.join(F.broadcast(active), at, "left").groupBy(*keys).agg(best)
+    else:
+        named = captures.select(*keys, *(F.xxhash64(F.lit(k), *(F.struct(c) for c in keys)).alias(f"h{k}") for k in (1, 2)))
+        candidates = named.select("h1", "h2", "fetched_at", F.explode(patterns(F.col("url"))).alias("candidate"))
+        matches = candidates.join(active, at).groupBy("h1", "h2").agg(best)
+        judged = named.dropDuplicates(["h1", "h2"]).join(matches, ["h1", "h2"], "left")
+    return judged.select(*keys, "best.pattern", "best.verdict", F.coalesce(F.col("best.verdict") == "block", F.lit(False)).alias("blocked"))

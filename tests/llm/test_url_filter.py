@@ -25,18 +25,21 @@ def test_against_brute_force(spark):
                 active.append((len(k), k, max(past)[1]))
         return max(active)[1:] if active else (None, None)
 
-    got = url_filter.evaluate(spark.createDataFrame(captures, "page_id long, url string, fetched_at long"), spark.createDataFrame(entries, ENTRIES)).collect()
-    assert len(got) == 400
-    for x in got:
-        assert (x.pattern, x.verdict) == best(x.url, x.fetched_at) and x.blocked == (x.verdict == "block")
+    for limit in (url_filter.BROADCAST_IDS, 0):
+        got = url_filter.evaluate(spark.createDataFrame(captures, "page_id long, url string, fetched_at long"), spark.createDataFrame(entries, ENTRIES), limit).collect()
+        assert len(got) == 400
+        for x in got:
+            assert (x.pattern, x.verdict) == best(x.url, x.fetched_at) and x.blocked == (x.verdict == "block")
 
 
 def test_odd_rows(spark):
     entries = [("a.com", "block", 5), ("a.com", "allow", 5), ("A.com", None, 9), (None, "block", 0), ("", "block", 0), ("b.com", "block", None)]
     rows = [(1, "http://a.com", 4, "x"), (2, "http://A.com.:80/", 5, "x"), (3, "https://u:p@w.a.com/x", 8, "x"), (4, "http://a.com", 9, "x"), (5, None, 6, "x"), (6, "nonsense", 6, None), (7, "http://a.com", None, "x"), (None, "http://a.com", 6, "x"), (2, "http://A.com.:80/", 5, "x"), (8, "http://b.com", 6, "x"), (9, "http://nota.com", 6, "x"), (10, "http://a.com/" + "p/" * 2000, 6, "x")]
-    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_at long, pattern string")
-    got = {r.page_id: r.blocked for r in url_filter.evaluate(captures, spark.createDataFrame(entries, ENTRIES)).collect()}
-    assert got == {1: False, 2: True, 3: True, 4: False, 5: False, 6: False, 7: False, None: True, 8: False, 9: False, 10: True}
+    captures = spark.createDataFrame([(*r, {"k": "v"}, "l", 1) for r in rows], "page_id long, url string, fetched_at long, pattern string, `a.b` map<string,string>, listed string, h1 long")
+    for limit in (url_filter.BROADCAST_IDS, 0):
+        out = url_filter.evaluate(captures, spark.createDataFrame(entries, ENTRIES), limit).collect()
+        assert len(out) == 11
+        assert {r.page_id: r.blocked for r in out} == {1: False, 2: True, 3: True, 4: False, 5: False, 6: False, 7: False, None: True, 8: False, 9: False, 10: True}
 
 
 def test_empty_tables(spark):
