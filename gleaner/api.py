@@ -1,17 +1,45 @@
-"""HTTP API over a loaded index and a label store: search, health, queues, ratings, statistics, exports."""
+"""HTTP API over a loaded index and a label store: search, health, queues, imports, ratings, statistics, exports."""
 
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators import index, labeling, search
-from gleaner.sources import sinks
+from gleaner.operators import index, labeling, search, stores
+from gleaner.sources import readers, sinks, web
+
+
+#: A page to rate links and pages by hand: the next of a queue, and a button for each rating.
+PAGE = """<!doctype html><html lang="en"><meta charset="utf-8"><title>Labels</title>
+<h1>Labels</h1><p><button data-q="link">links</button> <button data-q="crawler">pages</button> <span id="s"></span><ol id="l"></ol>
+<script>
+const kinds = {link: ["/api/link-candidates", "/api/link-rating", "/api/link-stats"], crawler: ["/api/crawler-candidates", "/api/rating", "/api/stats"]};
+async function show(kind) {
+  const [queue, rate, stats] = kinds[kind], list = document.getElementById("l");
+  const s = await (await fetch(stats)).json();
+  document.getElementById("s").textContent = `${s.rated} of ${s.total} rated`;
+  list.replaceChildren();
+  for (const row of await (await fetch(queue)).json()) {
+    const li = document.createElement("li");
+    li.textContent = `${row.anchor ?? row.title ?? ""} ${row.target_url ?? row.url} `;
+    for (const n of [1, 2, 3, 4, 5]) {
+      const b = document.createElement("button");
+      b.textContent = n;
+      b.onclick = async () => { await fetch(rate, {method: "POST", body: JSON.stringify({id: row.id, rating: n})}); li.remove(); };
+      li.append(b);
+    }
+    list.append(li);
+  }
+}
+for (const b of document.querySelectorAll("[data-q]")) b.onclick = () => show(b.dataset.q);
+</script>"""
 
 
 class Bad(ValueError):
@@ -60,15 +88,73 @@ class SearchService:
 
 
 class LabelService:
-    """Queues and ratings over two stores, ``links`` and ``results``, kept as Parquet below ``folder``."""
+    """Queues and ratings over two stores, ``links`` and ``results``, kept as Parquet below ``folder``.
+
+    provider: the pages of results that a web search gives for a query, each a list of dictionaries.
+    """
 
     SOURCES = ["crawler_pageverdict"]
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, provider: Callable[[str], list[list[dict]]] | None = None) -> None:
+        self.spark, self.folder, self.provider = spark, folder, provider
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        path = f"{self.folder}/{name}"
+        return stores.migrated(self.spark.read.parquet(path), name) if sinks.exists(self.spark, path) else stores.empty(self.spark, name)
+
+    def _put(self, name: str, records: DataFrame) -> None:
+        now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        sinks.swap(stores.put(self.table(name), records, name, now), f"{self.folder}/{name}")
+
+    def _records(self, params: dict) -> DataFrame:
+        path = str(params.get("path") or "")
+        if not os.path.exists(path):
+            raise Bad(f"no such file: {path}", 404)
+        if not os.path.isfile(path):
+            raise Bad(f"not a file: {path}", 400)
+        try:
+            rows = readers.json_lines(self.spark, path)
+            if "_corrupt_record" in rows.columns:
+                raise ValueError("a line is no JSON")
+        except (ValueError, AnalysisException) as e:
+            raise Bad(f"the file can't be used: {e}", 400) from e
+        return rows
+
+    def import_pages(self, params: dict) -> dict:
+        query = " ".join(str(params.get("query", "crawler:pageverdict")).split())
+        if not query:
+            raise Bad("a query is needed", 400)
+        limit = _int(params, "limit", 200, 1, labeling.MAX_LIMIT)
+        records = stores.result_records(self._records(params), query).persist()
+        n, sources = records.count(), sorted(r[0] for r in records.select("source").distinct().collect())
+        self._put("results", records)
+        queue = labeling.page_queue(self.table("results"), sources or self.SOURCES, limit, params.get("unlabeled_only", True) is not False)
+        return {"status": "ok", "path": params["path"], "rows_read": n, "stored": n, "results": self._rows(queue, "place")}
+
+    def import_links(self, params: dict) -> dict:
+        limit = _int(params, "limit", 200, 1, labeling.MAX_LIMIT)
+        records = stores.link_records(self._records(params)).persist()
+        n = records.count()
+        self._put("links", records)
+        queue = labeling.link_queue(self.table("links"), limit, params.get("unlabeled_only", True) is not False)
+        return {"status": "ok", "path": params["path"], "rows_read": n, "stored": n, "results": self._rows(queue, "place")}
+
+    def web_search(self, params: dict) -> dict:
+        query = " ".join(str(params.get("query", "")).split())
+        if not query:
+            raise Bad("a query is needed", 400)
+        if self.provider is None:
+            raise Bad("no search provider is set", 503)
+        pages = self.provider(query)
+        found = [r | {"page": r["page_number"], "source": "web"} for r in web.search_results(pages, query)]
+        if found:
+            kind = "query string, normalized_url string, page_number long, rank long, title string, url string, snippet string, page long, source string"
+            self._put("results", stores.result_records(self.spark.createDataFrame(found, kind), query))
+        return {"query": query, "source": "web", "pages": len(pages), "results": self.results({"query": query})}
+
+    @staticmethod
+    def index(params: dict) -> str:
+        return PAGE
 
     @staticmethod
     def _rows(df: DataFrame, order: str | None = None) -> list[dict]:
@@ -95,7 +181,10 @@ class LabelService:
             if t.where(F.col("id") == params.get("id")).isEmpty():
                 raise Bad("no such row", 404)
             given = self.spark.createDataFrame([(params["id"], rating)], f"id {t.schema['id'].dataType.simpleString()}, rating int")
-            sinks.swap(labeling.rate(t, given), f"{self.folder}/{name}")
+            rated = labeling.rate(t, given)
+            if "notes" in params:
+                rated = rated.withColumn("notes", F.when(F.col("id") == params["id"], str(params["notes"] or "").strip()).otherwise(F.col("notes")))
+            sinks.swap(rated, f"{self.folder}/{name}")
             return {"id": params["id"], "rating": rating}
 
         return run
@@ -109,10 +198,14 @@ class LabelService:
         return run
 
     def export(self, name: str) -> Callable:
-        return lambda params: self._rows(self.table(name).where("label is not null"), "id")
+        return lambda params: self._rows(stores.export(self.table(name), name))
 
     def routes(self) -> dict[tuple[str, str], Callable]:
         return {
+            ("GET", "/"): self.index,
+            ("POST", "/api/search"): self.web_search,
+            ("POST", "/api/import/crawler-pageverdict"): self.import_pages,
+            ("POST", "/api/import/link-candidates"): self.import_links,
             ("GET", "/api/link-candidates"): self.link_queue,
             ("GET", "/api/crawler-candidates"): self.page_queue,
             ("GET", "/api/results"): self.results,
@@ -138,6 +231,8 @@ def answer(routes: dict, method: str, target: str, body: bytes = b"") -> tuple[i
         return e.status, "application/json", json.dumps({"detail": str(e)}).encode()
     except json.JSONDecodeError:
         return 422, "application/json", b'{"detail": "the body is no JSON"}'
+    if isinstance(got, str):
+        return 200, "text/html; charset=utf-8", got.encode()
     if u.path.endswith(".jsonl"):
         return 200, "application/x-ndjson", "".join(json.dumps(r, ensure_ascii=False, default=str) + "\n" for r in got).encode()
     return 200, "application/json", json.dumps(got, ensure_ascii=False, default=str).encode()

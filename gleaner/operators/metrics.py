@@ -44,7 +44,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
     the slices above, so that no window holds more than a slice.
     """
     pos = (F.col("label") == "positive").cast("long")
-    at = rows.groupBy("probability").agg(F.sum(pos).alias("pos"), F.count("*").alias("n")).withColumn("slice", F.floor(F.col("probability") * 1024))
+    at = rows.groupBy("probability").agg(F.sum(pos).alias("pos"), F.count("*").alias("n")).withColumn("slice", F.least(F.greatest(F.floor(F.col("probability") * 1024), F.lit(0)), F.lit(1024)))
     tops = at.groupBy("slice").agg(F.sum("pos").alias("sp"), F.sum("n").alias("sn"))
     above = Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select("slice", F.coalesce(F.sum("sp").over(above), F.lit(0)).alias("above_pos"), F.coalesce(F.sum("sn").over(above), F.lit(0)).alias("above_n"))

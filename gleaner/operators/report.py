@@ -70,3 +70,16 @@ def format_report(saved: DataFrame, rejected: DataFrame, links: DataFrame | None
     if links is not None:
         out["link_frontier"] = link_frontier(links).first().asDict()
     return out
+
+
+def as_text(numbers: dict) -> str:
+    """A report for the terminal: a line a number, lists and tables indented below their name."""
+    lines = []
+    for name, value in numbers.items():
+        label = name.replace("_", " ")
+        if isinstance(value, dict | list):
+            rows = value.items() if isinstance(value, dict) else value
+            lines += [f"{label}:", *(f"  {k if k is not None else '-':<40} {v}" for k, v in rows)]
+        else:
+            lines.append(f"{label + ':':<28}{'-' if value is None else value}")
+    return "\n".join(lines)

@@ -106,6 +106,11 @@ def fetch_pages(targets: DataFrame, partitions: int, pause: float = 1, get: Call
     return by_host.select("url").mapInPandas(run, SCHEMA)
 
 
+def fetcher(partitions: int, pause: float = 1, **options) -> Callable[[DataFrame], DataFrame]:
+    """``fetch_pages`` as the web of a crawl."""
+    return lambda targets: fetch_pages(targets, partitions, pause, **options)
+
+
 def search_results(pages: Iterable[list[dict]], query: str) -> list[dict]:
     """Results of a search API, page by page: rank over all pages, the first of a url wins."""
     seen, out = set(), []
