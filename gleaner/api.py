@@ -128,6 +128,7 @@ class LabelService:
         records = stores.result_records(self._records(params), query).persist()
         n, sources = records.count(), sorted(r[0] for r in records.select("source").distinct().collect())
         self._put("results", records)
+        records.unpersist()  # the same file may be imported again with other rows
         queue = labeling.page_queue(self.table("results"), sources or self.SOURCES, limit, params.get("unlabeled_only", True) is not False)
         return {"status": "ok", "path": params["path"], "rows_read": n, "stored": n, "results": self._rows(queue, "place")}
 
@@ -136,6 +137,7 @@ class LabelService:
         records = stores.link_records(self._records(params)).persist()
         n = records.count()
         self._put("links", records)
+        records.unpersist()
         queue = labeling.link_queue(self.table("links"), limit, params.get("unlabeled_only", True) is not False)
         return {"status": "ok", "path": params["path"], "rows_read": n, "stored": n, "results": self._rows(queue, "place")}
 
