@@ -186,6 +186,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this library's own, of whatever file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df``: computed once, kept in the shared folder."""
     shared_folder(df.sparkSession)

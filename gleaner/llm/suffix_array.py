@@ -44,11 +44,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gleaner.llm.common import HOT, by_group, cut, lean, like, mix, one_each, plain, Scan, scans, without_number
+from gleaner.llm.common import by_group, cut, lean, like, mix, one_each, plain, Scan, scans, without_number
 
 MIN_WORDS = 50
 GRAM = 30
 MOST_HOT = 1_000_000
+HOT_PLACES = 1 << 18
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -218,8 +219,9 @@ def _context_batches(min_words: int, gram: int, hot: np.ndarray):
             names=["anchor", "kind", "doc_id", "at", "s", "e", "before", "after"],
         )
 
-    def spans(doc, at, s, e) -> pa.RecordBatch:
-        return rows(mix(doc.astype(np.uint64) * _STEP + at.astype(np.uint64)), KNOWN, doc, at, s, e)
+    def spans(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        doc, s, e = joined(*(np.concatenate(x) for x in zip(*found)))
+        return rows(mix(doc.astype(np.uint64) * _STEP + s.astype(np.uint64)), KNOWN, doc, s, s, e)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,22 +251,36 @@ def _context_batches(min_words: int, gram: int, hot: np.ndarray):
                 key = mix(g ^ _row_hash(left, 1) * _STEP ^ _row_hash(right, 2))
                 first = seen.first(key, doc, place)
                 k = np.flatnonzero(~first & (before + gram + after >= min_words))
-                yield spans(doc[k], place[k], place[k] - before[k], place[k] + gram + after[k])
+                later = [(doc[k], place[k] - before[k], place[k] + gram + after[k])]
                 k = np.flatnonzero(first & ~thick)
                 yield rows(g[k], CONTEXT, doc[k], place[k], place[k] * 0, place[k] * 0, left[k], right[k])
-                if not thick.any():
-                    continue
-                for ahead_of in range(side + 1):  # windows with so many words before the anchor
+                for ahead_of in range(side + 1) if thick.any() else ():  # windows with so many words before the anchor
                     k = np.flatnonzero(first & thick & (before >= ahead_of) & (after >= side - ahead_of))
                     window = mix(g[k] ^ _row_hash(left[k, :ahead_of], 3 + ahead_of) * _STEP ^ _row_hash(right[k, : side - ahead_of], 3 + side + ahead_of))
                     lead = seen.first(window, doc[k], place[k])
                     a, z = place[k] - ahead_of, place[k] - ahead_of + min_words
                     yield rows(window[lead], WINDOW, doc[k][lead], place[k][lead], a[lead], z[lead])
-                    yield spans(doc[k][~lead], place[k][~lead], a[~lead], z[~lead])
+                    later.append((doc[k][~lead], a[~lead], z[~lead]))
+                yield spans(later)
 
     return run
 
 
+def joined(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans [s, e) of each document, those that touch made one."""
+    if not len(doc):
+        return doc, s, e
+    order = np.lexsort((s, doc))
+    doc, s, e = doc[order], s[order], e[order]
+    first = np.append(True, doc[1:] != doc[:-1])
+    base = (np.cumsum(first) - 1) * (int(e.max()) + 1)  # so that a document's ends are past all of those before
+    reach = np.maximum.accumulate(e + base)
+    new = first | np.append(False, (s + base)[1:] > reach[:-1])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(doc)) - 1
+    return doc[at], s[at], reach[last] - base[last]
+
+
 def _binary(a: np.ndarray, width: int) -> pa.Array:
     n = len(a)
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(a))])
@@ -415,7 +431,7 @@ def _cover_batches(min_words: int, gram: int):
     return run
 
 
-def word_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def word_spans(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, hot: int = HOT_PLACES) -> DataFrame:
     """(doc_id, spans) of unique ``docs``: the words [s, e) around each anchor that an earlier factor covers."""
     texts = docs.select("doc_id", "text")
     found = cut(

@@ -1,9 +1,13 @@
+import os
+from urllib.parse import urlsplit
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gleaner.llm import queries
-from tests.llm.cases import words
+from tests.llm.cases import odd_docs, words
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +54,30 @@ def test_run_is_the_stages_in_turn(spark, corpus):
     assert sorted(got.collect(), key=key) == sorted(spark.read.parquet(f"{folder}/stage4").collect(), key=key)
 
 
+def test_run_keeps_its_last_stage_only(spark, corpus):
+    got = corpus_pipeline.run(spark, corpus[0])
+    (own,) = {os.path.dirname(os.path.dirname(urlsplit(f).path)) for f in got.inputFiles()}
+    assert os.listdir(own) == ["4-source_mixing"]
+
+
+def test_odd_rows_and_columns(spark, corpus, tmp_path):
+    folder = str(tmp_path)
+    d = odd_docs(spark).withColumn("lang", F.when(F.col("lang") == "de", "fr").otherwise(F.col("lang")))
+    base = spark.read.parquet(f"{corpus[0]}/documents.parquet").where("doc_id < 100").withColumn("doc_id", F.col("doc_id") + 1000)
+    d.unionByName(base, allowMissingColumns=True).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{corpus[0]}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns == [*d.columns, "mix_epoch", "mix_taken"]
+    ids = {r["doc_id"] for r in out.collect()}
+    assert None not in ids and {3, 4, 5, 6, 7}.isdisjoint(ids) and ids & set(range(1000, 1040))
+
+
+def test_empty_table(spark, corpus, tmp_path):
+    odd_docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{corpus[0]}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_against_sql(spark, name):
     sf = "/root/testdata/sf0.001"

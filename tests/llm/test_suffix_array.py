@@ -47,7 +47,7 @@ def test_against_brute_force(spark, k, gram, vocabulary):
             t += p[a : a + rng.integers(0, len(p) + 1)] + [f"v{x}" for x in rng.integers(0, vocabulary, rng.integers(0, k))]
         texts.append(" ".join(t))
     want = brute(texts, k)
-    for hot in (suffix_array.HOT, 3):
+    for hot in (suffix_array.HOT_PLACES, 3):
         got = {r.doc_id: r.text.split() for r in suffix_array.repeats(simple(spark, texts).repartition(5), k, gram, hot=hot).collect()}
         assert got
         for i, t in enumerate(texts):
@@ -101,6 +101,16 @@ def test_passages_with_other_neighbours_send_few_rows(spark):
     assert sent.agg({"count": "max"}).first()[0] <= 2
 
 
+def test_touching_spans_are_joined():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        doc, s = rng.integers(0, 4, 30), rng.integers(0, 60, 30)
+        e = s + rng.integers(1, 8, 30)
+        got = list(zip(*(x.tolist() for x in suffix_array.joined(doc, s, e))))
+        want = [(d, a, z) for d in sorted(set(doc.tolist())) for a, z in suffix_array._merged(s[doc == d], e[doc == d])]
+        assert got == want
+
+
 def test_first_places_over_batches():
     rng = np.random.default_rng(1)
     seen, least = suffix_array._Seen(), {}
