@@ -56,7 +56,8 @@ def link_queue(links: DataFrame, limit: int, unlabeled_only: bool = True, noise:
     """The next links to label, rounds of hosts, urls and score bands interleaved; with ``place`` from 1.
 
     How many links of a host are rated counts every link of the queue's sources,
-    so the aggregate is taken before the rated ones are left out.
+    so the aggregate is taken before the rated ones are left out.  There are five
+    score bands, so their rounds are counted over a range sort; no task holds a band.
     """
     ours = links.where(F.col("source").isin(*noise.sources))
     rated = ours.groupBy("target_host").agg(F.count("rating").alias("rated_for_host"))
@@ -73,7 +74,8 @@ def link_queue(links: DataFrame, limit: int, unlabeled_only: bool = True, noise:
     )
     last = [F.col("selected").desc(), F.col("should_enqueue").desc(), F.col("raw_score").desc(), F.col("id")]
     best = [F.col("rating").isNotNull(), F.col("target_uncertainty"), *last]
-    for name, key in (("host_round", "target_host"), ("url_round", "target_url"), ("score_band_round", "score_band")):
+    rows = ranked_within(rows, "score_band", best, "score_band_round")
+    for name, key in (("host_round", "target_host"), ("url_round", "target_url")):
         rows = rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*best)))
     curated, rounds, doubts = ["source_priority", "navigation_noise", "candidate_priority"], [f"{r}_round" for r in ("url", "host", "score_band")], ["link_uncertainty", "score_band", "target_uncertainty"]
     order = [*curated, "linkverdict_band", *rounds, "rated_for_host", *doubts]
@@ -116,7 +118,7 @@ def rate(results: DataFrame, ratings: DataFrame, now: Column | None = None) -> D
 def page_candidates(rows: DataFrame, query: str, zero_is_missing: bool = True) -> DataFrame:
     """Imported page rows, typed; rows without a url go, the rank falls back to the row's place."""
     c = F.col
-    placed = rows.withColumn("_n", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long"))
+    placed = ranked_within(rows.withColumns({"_all": F.lit(0), "_id": F.monotonically_increasing_id()}), "_all", [F.col("_id")], "_n")
     return placed.where("trim(coalesce(url, '')) <> ''").select(
         F.coalesce(F.nullif(F.trim(c("query")), F.lit("")), F.lit(query)).alias("query"),
         F.trim(c("url")).alias("url"),
@@ -151,8 +153,9 @@ def link_candidates(rows: DataFrame, zero_is_missing: bool = True) -> DataFrame:
 
 def page_export(scored: DataFrame) -> DataFrame:
     """Scored pages for relabeling, in order of (fetched_at, url), with rank and query."""
-    w = Window.orderBy("fetched_at", "url")
-    return scored.where("pageverdict_score is not null").select(F.row_number().over(w).alias("rank"), F.concat(F.lit("crawler:"), F.col("pageverdict_decision")).alias("query"), "*")
+    rows = scored.where("pageverdict_score is not null").withColumn("_all", F.lit(0))
+    ranked = ranked_within(rows, "_all", [F.col("fetched_at"), F.col("url")], "_rank")
+    return ranked.select(F.col("_rank").cast("int").alias("rank"), F.concat(F.lit("crawler:"), F.col("pageverdict_decision")).alias("query"), *scored.columns)
 
 
 def link_export(links: DataFrame) -> DataFrame:
@@ -160,21 +163,30 @@ def link_export(links: DataFrame) -> DataFrame:
     return links.orderBy(F.coalesce(F.abs(F.col("linkverdict_score") - 0.5), F.lit(0.0)), "target_url", "parent_url", "id")
 
 
-def ranked_export(links: DataFrame) -> DataFrame:
-    """All of ``link_export`` with its rank from 1.
+def ranked_within(rows: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """``rows``, kept in the shared folder, with the rank from 1 that ``order`` gives them among those of their key.
 
-    Rows are sorted by ranges; a range counts on from the rows of those before it.
+    For keys of few values: rows are sorted by ranges, a range counts on from what
+    the ranges before it hold of the key, and only these counts reach the driver.
     """
-    spark = links.sparkSession
+    spark = rows.sparkSession
     checkpoint_folder(spark)
-    placed = link_export(links).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).checkpoint()
-    before, total = [], 0
-    for part, n in sorted(placed.groupBy("_part").count().collect()):
-        before.append((part, total))
-        total += n
-    starts = spark.createDataFrame(before, "_part long, _before long")
-    rank = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
-    return placed.join(F.broadcast(starts), "_part").withColumn("rank", rank).drop("_at", "_part", "_before")
+    placed = rows.orderBy(key, *order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).checkpoint()
+    counts = placed.groupBy("_part", F.col(key).alias("_key")).agg(F.min("_at").alias("_first"), F.count("*").alias("n"))
+    starts, total = [], {}
+    for r in sorted(counts.collect(), key=lambda r: r["_part"]):
+        starts.append((r["_part"], r["_key"], total.get(r["_key"], 0) - r["_first"] + 1))
+        total[r["_key"]] = total.get(r["_key"], 0) + r["n"]
+    kind = dict(placed.dtypes)[key]
+    offsets = spark.createDataFrame(starts, f"_in long, _key {kind}, _offset long")
+    joined = placed.join(F.broadcast(offsets), (F.col("_part") == F.col("_in")) & F.col(key).eqNullSafe(F.col("_key")))
+    return joined.withColumn(name, F.col("_at") + F.col("_offset")).drop("_at", "_part", "_in", "_key", "_offset")
+
+
+def ranked_export(links: DataFrame) -> DataFrame:
+    """All of ``link_export``'s links with their rank from 1."""
+    order = [F.coalesce(F.abs(F.col("linkverdict_score") - 0.5), F.lit(0.0)), F.col("target_url"), F.col("parent_url"), F.col("id")]
+    return ranked_within(links.withColumn("_all", F.lit(0)), "_all", order, "rank").drop("_all")
 
 
 def labelled(results: DataFrame) -> DataFrame:

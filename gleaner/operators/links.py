@@ -64,17 +64,16 @@ def budgeted(links: DataFrame, gate: LinkGate = LinkGate()) -> DataFrame:
     A link over its family's budget takes none of its host's: that makes two
     windows over one sort enough.
     """
-    family = urls.url_family(F.col("target_url"), gate.languages)
-    order = [F.col("frontier_score").desc(), F.col("position")]
-    keys = ["parent_url", "target_host"]
-    by_family = Window.partitionBy(*keys, "family").orderBy(*order)
-    earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    fits = links.where(F.col("rejection_reason").isNull()).withColumn("family", family)
-    fits = fits.withColumn("in_family", F.row_number().over(by_family))
-    fits = fits.withColumn("before", F.coalesce(F.sum((F.col("in_family") <= gate.per_family).cast("int")).over(earlier), F.lit(0)))
-    reason = F.when(F.col("before") >= gate.per_host, "page_host_budget").when(F.col("in_family") > gate.per_family, "page_family_budget")
-    fits = fits.withColumn("rejection_reason", reason).drop("family", "in_family", "before")
-    return fits.unionByName(links.where(F.col("rejection_reason").isNotNull()))
+    best = [F.col("frontier_score").desc(), F.col("position")]
+    # links that have a reason already are groups of their own, so that one scan and one sort serve both kinds
+    keys = ["parent_url", "target_host", "_open"]
+    by_family = Window.partitionBy(*keys, "_family").orderBy(*best)
+    earlier = Window.partitionBy(*keys).orderBy(*best).rowsBetween(Window.unboundedPreceding, -1)
+    fits = links.withColumn("_open", F.col("rejection_reason").isNull()).withColumn("_family", F.when(F.col("_open"), urls.url_family(F.col("target_url"), gate.languages)))
+    fits = fits.withColumn("_place", F.row_number().over(by_family))
+    fits = fits.withColumn("_before", F.coalesce(F.sum((F.col("_place") <= gate.per_family).cast("int")).over(earlier), F.lit(0)))
+    reason = F.when(F.col("_before") >= gate.per_host, "page_host_budget").when(F.col("_place") > gate.per_family, "page_family_budget")
+    return fits.withColumn("rejection_reason", F.when(F.col("_open"), reason).otherwise(F.col("rejection_reason"))).drop("_open", "_family", "_place", "_before")
 
 
 def decided(links: DataFrame) -> DataFrame:

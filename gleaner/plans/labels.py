@@ -43,7 +43,7 @@ placed AS (SELECT *, row_number() OVER (ORDER BY (source <> 'curated_link'), noi
 @query("labeling_link_queue", f"WITH {LINKS} SELECT place::INTEGER AS place, id, noise AS navigation_noise, priority::INTEGER AS candidate_priority, hr::INTEGER AS host_round, ur::INTEGER AS url_round, br::INTEGER AS score_band_round, rated_for_host FROM placed WHERE place <= 200")
 def labeling_link_queue(spark, sf):
     q = labeling.link_queue(_links(spark, sf), 200)
-    return q.select("place", "id", "navigation_noise", "candidate_priority", "host_round", "url_round", "score_band_round", "rated_for_host")
+    return q.select("place", "id", "navigation_noise", "candidate_priority", "host_round", "url_round", F.col("score_band_round").cast("int").alias("score_band_round"), "rated_for_host")
 
 
 @query("link_label_stats", f"WITH {LINKS}, x AS (SELECT rating, CASE WHEN rating <= 2 THEN 'negative' WHEN rating = 3 THEN 'skip' WHEN rating > 3 THEN 'positive' END AS label FROM lr) SELECT 'total' AS kind, '' AS value, count(*) AS n FROM x UNION ALL SELECT 'rated', '', count(rating) FROM x UNION ALL SELECT 'label', label, count(*) FROM x WHERE label IS NOT NULL GROUP BY label UNION ALL SELECT 'rating', rating::VARCHAR, count(*) FROM x WHERE rating IS NOT NULL GROUP BY rating")

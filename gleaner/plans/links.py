@@ -277,10 +277,10 @@ def page_snippets(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.page_snippet(F.nullif(title, F.lit("")), title, body).alias("snippet"))
 
 
-@query("keyed_upsert", "WITH o AS (SELECT doc_id, source, n_chars, lang FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, source || '+' AS source, n_chars + 1 AS n_chars, 'new' AS lang FROM documents WHERE doc_id % 2 = 0) SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.source, o.source) AS source, coalesce(o.n_chars, n.n_chars) AS n_chars, CASE WHEN o.doc_id IS NOT NULL AND coalesce(o.lang, '') <> '' THEN o.lang ELSE n.lang END AS lang FROM o FULL JOIN n ON o.doc_id = n.doc_id")
+@query("keyed_upsert", "WITH o AS (SELECT doc_id, source, n_chars, lang FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, source || '+' AS source, n_chars + 1 AS n_chars, 'new' AS lang FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0) SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.source, o.source) AS source, coalesce(o.n_chars, n.n_chars) AS n_chars, CASE WHEN o.doc_id IS NOT NULL AND coalesce(o.lang, '') <> '' THEN o.lang ELSE n.lang END AS lang FROM o FULL JOIN n ON o.doc_id = n.doc_id")
 def keyed_upsert(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars", "lang")
-    new = d.where("doc_id % 2 = 0").select("doc_id", F.concat("source", F.lit("+")).alias("source"), (F.col("n_chars") + 1).alias("n_chars"), F.lit("new").alias("lang"))
+    new = d.where("doc_id % 2 = 0 or doc_id % 3 = 0").select("doc_id", F.concat("source", F.lit("+")).alias("source"), (F.col("n_chars") + 1).alias("n_chars"), F.lit("new").alias("lang"))
     return pages.upsert(d.where("doc_id % 3 <> 0"), new, ["doc_id"], keep=["n_chars"], fill=["lang"])
 
 

@@ -17,3 +17,9 @@ def checkpoint_folder(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="gleaner-")
     spark.sparkContext.setCheckpointDir(folder)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, for tables of a query's own."""
+    checkpoint_folder(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
