@@ -318,52 +318,70 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 LEVELS = 4
-LEADERS = 8
 
 
-def leaders(label: np.ndarray, most: int = LEADERS) -> np.ndarray:
-    """Up to ``most`` rows of each component, evenly placed in the order of rows."""
-    order = np.argsort(label, kind="stable")
-    first = np.flatnonzero(np.append(True, label[order][1:] != label[order][:-1])) if len(label) else np.zeros(0, np.int64)
-    size = np.repeat(np.diff(np.append(first, len(label))), np.diff(np.append(first, len(label))))
-    place = np.arange(len(label)) - np.repeat(first, np.diff(np.append(first, len(label))))
-    return order[place * most // size != (place - 1) * most // size]
+def known(cell: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Each row's least row of the same cell and root."""
+    _, first, place = np.unique(np.stack([cell, root]), axis=1, return_index=True, return_inverse=True)
+    return first[place.reshape(-1)]
 
 
-def search_cells(members: DataFrame, spread, compare, schema: str, hot: int = HOT, every: int = EVERY, levels: int = LEVELS) -> list[DataFrame]:
-    """Links (a, b, sure) found in the cells over which ``spread`` lays ``members`` (path, id, ...).
+def search_cells(members: DataFrame, spread, compare, schema: str, stars: bool, hot: int = HOT, every: int = EVERY, levels: int = LEVELS) -> list[DataFrame]:
+    """Links (a, b, sure) found in the cells over which ``spread`` lays ``members`` (id, ...).
 
-    spread(level) and compare are functions for mapInArrow: the first gives (cell, id, ...) of ``schema``, the
-    second, of rows sorted by cell, links and with ``lead=True`` also up to LEADERS members (cell, id, ...) of
-    every component of a cell.  A cell of more than about ``hot`` members is cut into chunks by a hash of the id,
-    and only the leaders of a chunk's components go on: their cell is laid out anew by the next level's cells.  So
-    a thick group shrinks by a factor of its chunks' size, and no task holds more than about ``hot`` members.  What
-    is still hot at the last level is compared chunk by chunk, every pair of chunks in a task of its own.
+    spread and compare are functions for mapInArrow: the first gives (cell, id, ...) of ``schema``, the second the
+    links of rows sorted by cell; where these have a ``root``, members of a cell with one root count as linked.  No
+    task holds more than about ``hot`` members, and yet every two members of a cell are compared: a cell of more is
+    cut into chunks and every pair of chunks is a task of its own.  With ``stars``, where links need only give the
+    components, ``levels`` - 1 rounds of chunks by other hashes come before.  What they find makes thick groups one
+    component each; such a group has chunks to itself, and only pairs of chunks of one and the same group are left
+    out.  So a cell of one thick group costs its rounds, and the rest of a cell a pass over it for every chunk.
     """
     links = "a long, b long, sure boolean"
-    found, level = [], 0
-    while True:
-        sample = members.where(every_nth("id", every)).mapInArrow(lean(spread(level)), schema).select("cell")
-        crowded = hot_cells(sample, hot, every)
-        entries = members.mapInArrow(lean(spread(level)), schema)
-        by_cell = lambda rows: rows.repartition("cell").sortWithinPartitions("cell")
-        if crowded.isEmpty():
-            found.append(by_cell(entries).mapInArrow(lean(compare(False)), links))
-            return found
-        marked = entries.join(small_side(crowded), "cell", "left")
-        columns = entries.columns
-        found.append(by_cell(marked.where("chunks is null").select(*columns)).mapInArrow(lean(compare(False)), links))
-        chunk = F.pmod(F.xxhash64(F.lit(level + 17), "id"), F.col("chunks"))
-        thick = marked.where("chunks is not null").withColumn("chunk", chunk)
-        if level + 1 == levels:
-            pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.xxhash64("cell", F.least("chunk", j), F.greatest("chunk", j)))
-            thick = thick.withColumn("pair", F.explode(pair)).drop("cell").withColumnRenamed("pair", "cell").select(*columns)
-            found.append(by_cell(thick).mapInArrow(lean(compare(False)), links))
-            return found
-        thick = thick.withColumn("path", F.col("cell")).withColumn("cell", F.xxhash64("cell", "chunk"))
-        rest = [c for c in columns if c not in ("cell", "own")]
-        kinds = ", ".join(f"{c} {dict(members.dtypes)[c]}" for c in rest)
-        done = cut(by_cell(thick.select(*columns, "path")).mapInArrow(lean(compare(True)), f"{links}, path long, {kinds}"))
-        found.append(done.where("a is not null").select("a", "b", "sure"))
-        members = done.where("a is null").select("path", *rest).dropDuplicates(["path", "id"])
-        level += 1
+    by_cell = lambda rows: rows.repartition("cell").sortWithinPartitions("cell")
+    sample = members.where(every_nth("id", every)).mapInArrow(lean(spread), schema).select("cell")
+    crowded = hot_cells(sample, hot, every)
+    entries = members.mapInArrow(lean(spread), schema)
+    if crowded.isEmpty():
+        return [by_cell(entries).mapInArrow(lean(compare), links)]
+    columns = entries.columns
+    marked = entries.join(small_side(crowded), "cell", "left")
+    found = [cut(by_cell(marked.where("chunks is null").select(*columns)).mapInArrow(lean(compare), links))]
+    thick = cut(marked.where("chunks is not null"))
+    for level in range(levels - 1 if stars else 0):
+        chunk = F.pmod(F.xxhash64(F.lit(level + 17), "cell", "id"), F.col("chunks"))
+        part = thick.withColumn("cell", F.xxhash64("cell", F.lit(level), chunk)).select(*columns)
+        found.append(cut(by_cell(part).mapInArrow(lean(compare), links)))
+    thick = thick.select(*columns, F.col("id").alias("root"))
+    if stars:
+        so_far = found[0]
+        for more in found[1:]:
+            so_far = so_far.unionByName(more)
+        roots = components(so_far.where("sure").select("a", "b")).withColumnRenamed("root", "least")
+        thick = thick.join(roots, F.col("id") == F.col("node"), "left").select(*columns, F.coalesce("least", "root").alias("root"))
+        thick = cut(thick)
+    found.append(by_cell(_chunk_pairs(thick, columns, hot)).mapInArrow(lean(compare), links))
+    return found
+
+
+def _chunk_pairs(thick: DataFrame, columns: list[str], hot: int) -> DataFrame:
+    """``thick`` (cell, id, root, ...) once for every pair of chunks it is in, ``cell`` the pair.
+
+    A root of more than half of ``hot`` members in a cell has chunks to itself; the others share some.
+    """
+    size = thick.groupBy("cell", "root").agg(F.count("*").alias("n"))
+    chunks_of = F.ceil(F.col("n") * 2 / hot).cast("long")
+    large = small_side(size.where(F.col("n") * 2 > hot).select("cell", "root", F.col("root").alias("kin"), chunks_of.alias("own_chunks")))
+    shared = small_side(size.where(F.col("n") * 2 <= hot).groupBy("cell").agg(F.sum("n").alias("n")).select("cell", chunks_of.alias("chunks")))
+    number = F.pmod(F.xxhash64(F.lit(71), "cell", "id", "root"), F.coalesce("own_chunks", "chunks"))
+    placed = thick.join(large, ["cell", "root"], "left").join(shared, "cell", "left").select(*columns, "root", "kin", number.alias("chunk"))
+    place = F.struct(F.col("kin").isNull().alias("shared"), F.coalesce("kin", F.lit(0).cast("long")).alias("kin"), "chunk")
+    own = large.select("cell", "kin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_chunks") - 1)).alias("chunk"))
+    rest = shared.select("cell", F.lit(None).cast("long").alias("kin"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    places = own.unionByName(rest).select("cell", place.alias("place"))
+    pairs = places.join(places.withColumnRenamed("place", "other"), "cell")
+    alike = ~F.col("place.shared") & ~F.col("other.shared") & (F.col("place.kin") == F.col("other.kin"))
+    name = F.xxhash64("cell", F.least("place", "other"), F.greatest("place", "other"))
+    pairs = small_side(pairs.where(~alike).select("cell", "place", name.alias("pair")))
+    both = placed.withColumn("place", place).join(pairs, ["cell", "place"])
+    return both.drop("cell").withColumnRenamed("pair", "cell").select(*columns, "root")

@@ -14,9 +14,9 @@ within that bound of ``min_cosine``, and those few are verified by the exact
 cosine.  A cell gives a link from each member to the first of its component, so
 that a thick group costs links and not pairs, and members known to be in one
 component aren't compared again.  Cells of more than about ``hot`` members are
-cut up (``common.search_cells``): within such a cell two vectors of different
-chunks are linked over the leaders of their components.  Groups are the
-connected components of the links.
+cut up (``common.search_cells``): there too every two vectors, one of them in its
+own cell, are compared or in one component already.  Groups are the connected
+components of the links.
 
 Nulls, empties and ties: a NULL, empty or zero vector, and one with a NULL, NaN
 or infinite element, is a group of its own, however often it occurs; shorter
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import HOT, by_group, components, cut, leaders, lean, merge, mix, one_each, plain, search_cells, small_side
+from gleaner.llm.common import HOT, by_group, components, cut, known, lean, merge, mix, one_each, plain, search_cells, small_side
 
 MIN_COSINE = 0.95
 DESIGN_COSINE = 0.96
@@ -96,18 +96,18 @@ def _projection(seed: tuple[int, ...], dim: int) -> np.ndarray:
     return np.random.default_rng(list(seed)).normal(size=(dim, 8)) / CELL
 
 
-def cells(unit: np.ndarray, table: int, blocks: int, probes: int = PROBES, level: int = 0) -> Iterator[tuple[np.ndarray, bool]]:
+def cells(unit: np.ndarray, table: int, blocks: int, probes: int = PROBES) -> Iterator[tuple[np.ndarray, bool]]:
     """Keys of the own cell (probe False) and of the probed cells of every row."""
     points, near = [], []
     for k in range(blocks):
-        x = unit @ _projection((level, table, k), unit.shape[1])
+        x = unit @ _projection((0, table, k), unit.shape[1])
         p = nearest_e8(x)
         points.append(p)
         if probes:
             gain = (x - p) @ NEIGHBOURS.T
             near.append(np.argpartition(-gain, probes - 1, axis=1)[:, :probes])
     own = [_key(p, k + 1) for k, p in enumerate(points)]
-    salt = np.uint64((table + 1009 * level) * 0xD1342543DE82EF95 % (1 << 64))
+    salt = np.uint64(table * 0xD1342543DE82EF95 % (1 << 64))
     yield mix(sum(own, start=np.full(len(unit), salt))), False
     for k in range(blocks):
         rest = sum((own[j] for j in range(blocks) if j != k), start=np.full(len(unit), salt))
@@ -180,10 +180,10 @@ def slack(dim: int) -> float:
 class _Links:
     """Components of the rows of some cells, and the pairs too near to ``min_cosine`` to be sure of."""
 
-    def __init__(self, v: np.ndarray, own: np.ndarray, min_cosine: float, stars: bool) -> None:
+    def __init__(self, v: np.ndarray, own: np.ndarray, min_cosine: float, stars: bool, label: np.ndarray | None = None) -> None:
         self.v, self.own, self.stars = v, own, stars
         self.least, self.sure = min_cosine - slack(v.shape[1]), min_cosine + slack(v.shape[1])
-        self.label = np.arange(len(v))
+        self.label = np.arange(len(v)) if label is None else label
         self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, i: np.ndarray, j: np.ndarray, c: np.ndarray) -> None:
@@ -239,38 +239,26 @@ class _Links:
 
 
 def _compare(dim: int, min_cosine: float, stars: bool):
-    def with_leaders(lead: bool):
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in by_group(batches, "cell", 1 << 16):
-                cell, own, ids = t.column("cell").to_numpy(), t.column("own").to_numpy(), t.column("id").to_numpy()
-                first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-                sizes = np.diff(np.append(first, len(cell)))
-                use = (sizes > 1) & (np.add.reduceat(own, first, dtype=np.int64) > 0)
-                links = _Links(_unpacked(t.column("v"), dim), own, min_cosine, stars)
-                links.few(cell, np.flatnonzero(np.repeat(use & (sizes <= FEW), sizes)))
-                for at, m in zip(first[use & (sizes > FEW)], sizes[use & (sizes > FEW)]):
-                    links.many(np.arange(at, at + m))
-                moved = np.flatnonzero(links.label != np.arange(len(cell)))
-                i, j = links.unsure()
-                a, b = np.append(ids[links.label[moved]], ids[i]), np.append(ids[moved], ids[j])
-                sure = np.arange(len(a)) < len(moved)
-                pairs = np.stack([np.minimum(a, b), np.maximum(a, b), sure])[:, a != b]
-                pairs = np.unique(pairs, axis=1) if pairs.size else pairs
-                out = [pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2] == 1)]
-                names = ["a", "b", "sure"]
-                if not lead:
-                    yield pa.RecordBatch.from_arrays(out, names=names)
-                    continue
-                k = pa.array(leaders(links.label))
-                on = [t.column(c).take(k).combine_chunks() for c in ("path", "id", "v")]
-                on = [pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in on]
-                names += ["path", "id", "v"]
-                yield pa.RecordBatch.from_arrays([*out, *(pa.nulls(len(out[0]), c.type) for c in on)], names=names)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(k), c.type) for c in out), *on], names=names)
-
-        return run
-
-    return with_leaders
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, "cell", 1 << 16):
+            cell, own, ids = t.column("cell").to_numpy(), t.column("own").to_numpy(), t.column("id").to_numpy()
+            first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+            sizes = np.diff(np.append(first, len(cell)))
+            use = (sizes > 1) & (np.add.reduceat(own, first, dtype=np.int64) > 0)
+            before = known(cell, t.column("root").to_numpy()) if stars and "root" in t.column_names else np.arange(len(cell))
+            links = _Links(_unpacked(t.column("v"), dim), own, min_cosine, stars, before)
+            links.few(cell, np.flatnonzero(np.repeat(use & (sizes <= FEW), sizes)))
+            for at, m in zip(first[use & (sizes > FEW)], sizes[use & (sizes > FEW)]):
+                links.many(np.arange(at, at + m))
+            moved = np.flatnonzero((before == np.arange(len(cell))) & (links.label != before))
+            i, j = links.unsure()
+            a, b = np.append(ids[links.label[moved]], ids[i]), np.append(ids[moved], ids[j])
+            sure = np.arange(len(a)) < len(moved)
+            pairs = np.stack([np.minimum(a, b), np.maximum(a, b), sure])[:, a != b]
+            pairs = np.unique(pairs, axis=1) if pairs.size else pairs
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2] == 1)], names=["a", "b", "sure"])
+
+    return run
 
 
 def near_pairs(vectors: DataFrame, min_cosine: float = MIN_COSINE, recall: float = RECALL, stars: bool = False, hot: int = HOT, **cut_up) -> DataFrame:
@@ -280,38 +268,31 @@ def near_pairs(vectors: DataFrame, min_cosine: float = MIN_COSINE, recall: float
     """
     size = vectors.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
     dim = max(1, size["d"] or 1)
-    layout = plan(max(size["n"], 2), dim, recall)
-    below = plan(LEAF, dim, recall)
+    blocks, tables = plan(max(size["n"], 2), dim, recall)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             unit = _matrix(b.column("embedding"), dim)
             usable = unit.any(axis=1)
             ids = b.column("vec_id").filter(pa.array(usable))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int64)), ids, _packed(unit[usable])], names=["path", "id", "v"])
+            yield pa.RecordBatch.from_arrays([ids, _packed(unit[usable])], names=["id", "v"])
 
-    def spread(level: int):
-        blocks, tables = below if level else layout
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                unit, path = _unpacked(b.column("v"), dim).astype(np.float64), b.column("path").to_numpy().view(np.uint64)
-                for t in range(tables):
-                    for key, probe in cells(unit, t, blocks, level=level):
-                        cell = mix(key ^ path) if level else key
-                        yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(np.full(len(unit), not probe)), b.column("id"), b.column("v")], names=["cell", "own", "id", "v"])
-
-        return run
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            unit = _unpacked(b.column("v"), dim).astype(np.float64)
+            for t in range(tables):
+                for cell, probe in cells(unit, t, blocks):
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(np.full(len(unit), not probe)), b.column("id"), b.column("v")], names=["cell", "own", "id", "v"])
 
     def cosine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c = np.einsum("ij,ij->i", _matrix(b.column("va"), dim), _matrix(b.column("vb"), dim))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(c)], names=["a", "b", "cosine"])
 
-    members = cut(vectors.select("vec_id", "embedding").mapInArrow(lean(pack), "path long, id long, v binary"))
-    found = search_cells(members, spread, _compare(dim, min_cosine, stars), "cell long, own boolean, id long, v binary", hot, **cut_up)
+    members = cut(vectors.select("vec_id", "embedding").mapInArrow(lean(pack), "id long, v binary"))
+    found = search_cells(members, spread, _compare(dim, min_cosine, stars), "cell long, own boolean, id long, v binary", stars, hot, **cut_up)
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)

@@ -15,7 +15,9 @@ crowded is searched by a forest of its own, drawn anew for every trie above it,
 so that what one parent misses another can find.  Every candidate pair is
 verified on all 256 bits, and groups are the connected components of the
 verified pairs.  Nodes of more than about ``hot`` distinct fingerprints are cut
-up (``common.search_cells``), so that no task holds them whole.
+up (``common.search_cells``), so that no task holds them whole, and yet every
+two of their members are compared or in one group already.  A task keeps
+components and not pairs: those of thick groups would fill its memory.
 
 Nulls, empties and ties: a row with a NULL doc_id can't be named, so it is left
 out (``keep_one`` keeps it).  A text without words (NULL, empty, blank) has no
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import HOT, Scan, by_group, components, cut, leaders, lean, like, merge, mix, one_each, plain, scans, search_cells, small_side, without_number
+from gleaner.llm.common import HOT, Scan, by_group, components, cut, known, lean, like, merge, mix, one_each, plain, scans, search_cells, small_side, without_number
 
 BITS = 256
 WORDS = BITS // 64
@@ -45,6 +47,8 @@ RECALL = 0.95
 LEAF = 16
 MAX_TRIES = 64
 CROWDED = 1024
+PIVOTS = 16
+FOLD = 1 << 20
 FP = [f"f{i}" for i in range(WORDS)]
 
 _LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
@@ -150,51 +154,126 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(a[:, w] ^ b[:, w]).astype(np.int16) for w in range(WORDS))
 
 
-def _close_in_runs(fps: np.ndarray, run: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one run at distance <= limit; rows are sorted by run."""
+class _Links:
+    """Pairs of rows; with ``stars`` only the components they make, pairs of a component not being looked at again."""
+
+    def __init__(self, label: np.ndarray, stars: bool) -> None:
+        self.label, self.stars = label, stars
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def open(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that can still tell something."""
+        if not self.stars:
+            return i, j
+        apart = self.label[i] != self.label[j]
+        return i[apart], j[apart]
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        if len(i):
+            self.held.append((i, j))
+            self.n += len(i)
+            if self.stars and self.n > FOLD:
+                self.fold()
+
+    def fold(self) -> None:
+        if self.held:
+            self.label = merge(self.label, *self.pairs())
+            self.held, self.n = [], 0
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([h[0] for h in self.held]), np.concatenate([h[1] for h in self.held])
+
+
+def _close_in_runs(fps: np.ndarray, rows: np.ndarray, run: np.ndarray, limit: int, links: _Links) -> None:
+    """Adds the pairs of rows of one run at distance <= limit; ``rows`` are sorted by run."""
     last = np.searchsorted(run, run, "right")
-    rows = np.arange(len(run))
+    at = np.arange(len(run))
     step = 1
-    while len(rows):
-        rows = rows[rows + step < last[rows]]
-        for part in np.array_split(rows, max(1, len(rows) >> 18)):
-            near = part[_distance(fps[part], fps[part + step]) <= limit]
-            if len(near):
-                yield near, near + step
+    while len(at):
+        at = at[at + step < last[at]]
+        for part in np.array_split(at, max(1, len(at) >> 18)):
+            i, j = links.open(rows[part], rows[part + step])
+            near = _distance(fps[i], fps[j]) <= limit
+            links.add(i[near], j[near])
         step += 1
 
 
-def close_pairs(fps: np.ndarray, run: np.ndarray, limit: int = MAX_DISTANCE, path: tuple[int, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs in runs (sorted); a run over CROWDED rows gets a forest of its own.
+def _one_to_all(fps: np.ndarray, one: int, rows: np.ndarray, limit: int, links: _Links) -> None:
+    i, j = links.open(np.full(len(rows), one), rows)
+    near = np.flatnonzero(_distance(fps[one : one + 1], fps[j]) <= limit)
+    links.add(i[near], j[near])
+
+
+def _search(fps: np.ndarray, rows: np.ndarray, run: np.ndarray, limit: int, path: tuple[int, ...] | None, links: _Links) -> None:
+    """Adds the pairs in runs of ``rows`` (sorted by run); a run over CROWDED rows gets a forest of its own.
 
     ``path`` names the tries above and seeds that forest; at the top a run's trie is in its bits from 48 on.
     """
     if not len(run):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     cuts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
     sizes = np.diff(np.append(cuts, len(run)))
+    if links.stars:
+        label = links.label[rows]
+        mixed = np.minimum.reduceat(label, cuts) != np.maximum.reduceat(label, cuts)
+    else:
+        mixed = sizes > 1
     crowded = sizes > CROWDED
-    small = np.flatnonzero(np.repeat(~crowded, sizes))
-    found = [(small[i], small[j]) for i, j in _close_in_runs(fps[small], run[small], limit)]
-    for at, m in zip(cuts[crowded], sizes[crowded]):
-        own = np.arange(at, at + m)
-        above = (int(run[at]) >> 48 & 0xFFFF,) if path is None else path
-        depth, tries = plan(m, distance=limit) if len(above) < 4 else (0, 1)
-        if not depth or tries * LEAF * 2 > m:
-            for k in range(m - 1):
-                near = np.flatnonzero(_distance(fps[own[k] : own[k] + 1], fps[own[k + 1 :]]) <= limit)
-                if len(near):
-                    found.append((np.full(len(near), own[k]), own[k + 1 :][near]))
-            continue
-        for t in range(tries):
-            bits = np.random.default_rng([len(above), *above, t]).permutation(BITS)[:depth]
-            key = _prefixes(fps[own], bits)
-            order = np.argsort(key, kind="stable")
-            i, j = close_pairs(fps[own[order]], key[order], limit, (*above, t))
-            found.append((own[order[i]], own[order[j]]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    small = np.flatnonzero(np.repeat(mixed & ~crowded, sizes))
+    _close_in_runs(fps, rows[small], run[small], limit, links)
+    for at, m in zip(cuts[crowded & mixed], sizes[crowded & mixed]):
+        own = rows[at : at + m]
+        if path is None:
+            _crowded(fps, own, limit, (int(run[at]) >> 48 & 0xFFFF,), links)
+        else:
+            _forest(fps, own, limit, path, links)
+
+
+def _crowded(fps: np.ndarray, own: np.ndarray, limit: int, path: tuple[int, ...], links: _Links) -> None:
+    """The pairs of one crowded run, with labels of its own; thick groups are joined over a few rows first."""
+    if not links.stars:
+        return _forest(fps, own, limit, path, links)
+    mine = _Links(known(np.zeros(len(own), np.int64), links.label[own]), True)
+    fps, all_rows, before = fps[own], np.arange(len(own)), mine.label
+    for one in range(0, len(own), -(-len(own) // PIVOTS)):
+        _one_to_all(fps, one, all_rows, limit, mine)
+        mine.fold()
+    _forest(fps, all_rows, limit, path, mine)
+    mine.fold()
+    moved = np.flatnonzero(mine.label != before)
+    links.add(own[mine.label[moved]], own[moved])
+
+
+def _forest(fps: np.ndarray, own: np.ndarray, limit: int, path: tuple[int, ...], links: _Links) -> None:
+    m = len(own)
+    depth, tries = plan(m, distance=limit) if len(path) < 4 else (0, 1)
+    if not depth or tries * LEAF * 2 > m:
+        for k in range(m - 1):
+            _one_to_all(fps, own[k], own[k + 1 :], limit, links)
+        return
+    for t in range(tries):
+        bits = np.random.default_rng([len(path), *path, t]).permutation(BITS)[:depth]
+        key = _prefixes(fps[own], bits)
+        order = np.argsort(key, kind="stable")
+        _search(fps, own[order], key[order], limit, (*path, t), links)
+
+
+def close_pairs(fps: np.ndarray, run: np.ndarray, limit: int = MAX_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in runs (sorted)."""
+    links = _Links(np.arange(len(run)), False)
+    _search(fps, np.arange(len(run)), run, limit, None, links)
+    return links.pairs()
+
+
+def close_groups(fps: np.ndarray, run: np.ndarray, limit: int = MAX_DISTANCE, label: np.ndarray | None = None) -> np.ndarray:
+    """Each row's least row of its component in its run (sorted); ``label`` is what is known of it before."""
+    links = _Links(np.arange(len(run)) if label is None else label, True)
+    _search(fps, np.arange(len(run)), run, limit, None, links)
+    links.fold()
+    return links.label
 
 
 def signatures(unique: DataFrame) -> DataFrame:
@@ -208,32 +287,22 @@ def _matrix(t: pa.Table | pa.RecordBatch) -> np.ndarray:
 
 
 def _compare(max_distance: int, stars: bool):
-    def with_leaders(lead: bool):
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in by_group(batches, "cell"):
-                cell, ids = t.column("cell").to_numpy(), t.column("id").to_numpy()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, "cell"):
+            cell, ids = t.column("cell").to_numpy(), t.column("id").to_numpy()
+            if stars:
+                before = known(cell, t.column("root").to_numpy()) if "root" in t.column_names else np.arange(len(ids))
+                label = close_groups(_matrix(t), cell, max_distance, before)
+                j = np.flatnonzero((before == np.arange(len(ids))) & (label != before))
+                i = label[j]
+            else:
                 i, j = close_pairs(_matrix(t), cell, max_distance)
-                label = merge(np.arange(len(ids)), i, j) if stars or lead else np.arange(len(ids))
-                if stars:
-                    j = np.flatnonzero(label != np.arange(len(ids)))
-                    i = label[j]
-                a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-                pairs = np.stack([a, b])[:, a != b]
-                pairs = np.unique(pairs, axis=1) if pairs.size else pairs
-                out = [pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.ones(pairs.shape[1], bool))]
-                names = ["a", "b", "sure"]
-                if not lead:
-                    yield pa.RecordBatch.from_arrays(out, names=names)
-                    continue
-                k = leaders(label)
-                on = [pa.array(t.column(c).to_numpy()[k]) for c in ("path", "id", *FP)]
-                names += ["path", "id", *FP]
-                yield pa.RecordBatch.from_arrays([*out, *(pa.nulls(len(out[0]), c.type) for c in on)], names=names)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(k), c.type) for c in out), *on], names=names)
-
-        return run
-
-    return with_leaders
+            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            pairs = np.stack([a, b])[:, a != b]
+            pairs = np.unique(pairs, axis=1) if pairs.size else pairs
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.ones(pairs.shape[1], bool))], names=["a", "b", "sure"])
+
+    return run
 
 
 def near_pairs(reps: DataFrame, max_distance: int = MAX_DISTANCE, recall: float = RECALL, stars: bool = False, hot: int = HOT, **cut_up) -> DataFrame:
@@ -243,34 +312,18 @@ def near_pairs(reps: DataFrame, max_distance: int = MAX_DISTANCE, recall: float
     member of each component, so that thick groups don't cost pairs.
     """
     depth, tries = plan(reps.count(), recall, max_distance)
-    below = plan(hot, recall, max_distance)
     bits = _permutations(tries, depth)
 
-    def spread(level: int):
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                fps, names = _matrix(b), ["cell", "id", *FP]
-                if not level:
-                    for t in range(tries):
-                        node = (np.uint64(t) << np.uint64(48)) | _prefixes(fps, bits[t])
-                        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(b.column(c) for c in names[1:])], names=names)
-                    continue
-                # a forest of its own for every group of nodes above: those of a trie at the first level
-                path = b.column("path").to_numpy().view(np.uint64)
-                group = (path >> np.uint64(48)) % np.uint64(MAX_TRIES)
-                for g in np.unique(group).tolist():
-                    rows = np.flatnonzero(group == g)
-                    own = pa.array(rows)
-                    for t in range(below[1]):
-                        order = np.random.default_rng([977, level, g, t]).permutation(BITS)[: below[0]]
-                        node = mix(mix(path[rows] + np.uint64(t)) ^ _prefixes(fps[rows], order))
-                        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(b.column(c).take(own) for c in names[1:])], names=names)
-
-        return run
-
-    members = reps.select(F.lit(0).cast("long").alias("path"), F.col("rep").alias("id"), *FP)
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, names = _matrix(b), ["cell", "id", *FP]
+            for t in range(tries):
+                node = (np.uint64(t) << np.uint64(48)) | _prefixes(fps, bits[t])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(b.column(c) for c in names[1:])], names=names)
+
+    members = reps.select(F.col("rep").alias("id"), *FP)
     schema = "cell long, id long, " + ", ".join(f"{c} long" for c in FP)
-    found = search_cells(members, spread, _compare(max_distance, stars), schema, hot, **cut_up)
+    found = search_cells(members, spread, _compare(max_distance, stars), schema, stars, hot, **cut_up)
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)

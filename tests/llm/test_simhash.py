@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -146,6 +147,26 @@ def test_hot_nodes_are_cut_up(spark):
         assert len(same) == len(set(got.values())) == len(set(want)), levels
 
 
+def near(r, base, flips, places, n):
+    """n fingerprints (bits) that differ from base in ``flips`` of the given places."""
+    out = np.repeat(base[None, :], n, axis=0)
+    for row in out:
+        row[r.choice(places, flips, replace=False)] ^= 1
+    return out
+
+
+def test_a_thick_node_costs_components_and_not_pairs():
+    r = np.random.default_rng(3)
+    bits = np.concatenate([near(r, r.integers(0, 2, 256, dtype=np.uint8), 12, np.arange(256), 3000), r.integers(0, 2, (1000, 256), dtype=np.uint8)])
+    fps = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    tracemalloc.start()
+    label = simhash.close_groups(fps, np.zeros(len(fps), np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (label[:3000] == 0).all() and (label[3000:] == np.arange(3000, 4000)).all()
+    assert peak < 100e6  # the node's pairs alone are 72 MB for every trie that has them
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     assert simhash.keep_one(docs(spark, [])).count() == 0
