@@ -167,6 +167,32 @@ def test_a_thick_node_costs_components_and_not_pairs():
     assert peak < 100e6  # the node's pairs alone are 72 MB for every trie that has them
 
 
+def bridged(r, groups=2, n=400):
+    """Fingerprints in ``groups`` groups: two thick ones each, joined by one pair of members at 50 bits."""
+    parts = []
+    for _ in range(groups):
+        a = r.integers(0, 2, 256, dtype=np.uint8)
+        x, y, b = a.copy(), a.copy(), a.copy()
+        x[:40] ^= 1
+        y[:90] ^= 1
+        b[:120] ^= 1
+        parts += [near(r, a, 4, np.arange(120, 256), n), near(r, b, 4, np.arange(120, 256), n), x[None, :], y[None, :]]
+    bits = np.concatenate(parts)
+    return np.packbits(bits[r.permutation(len(bits))], axis=1, bitorder="little").view(np.uint64)
+
+
+def test_a_hot_node_loses_no_link_between_two_members(spark, monkeypatch):
+    fps = bridged(np.random.default_rng(11))
+    i, j = (np.array(k) for k in zip(*brute(fps, simhash.MAX_DISTANCE)))
+    want = simhash.merge(np.arange(len(fps)), i, j)
+    reps = spark.createDataFrame([(k, *map(int, f.view(np.int64))) for k, f in enumerate(fps)], "rep long, f0 long, f1 long, f2 long, f3 long")
+    monkeypatch.setattr(simhash, "plan", lambda *a: (0, 1))  # one node for all
+    for levels in (1, 3):
+        links = simhash.near_pairs(reps, stars=True, hot=200, every=1, levels=levels).collect()
+        got = simhash.merge(np.arange(len(fps)), np.array([e.a for e in links]), np.array([e.b for e in links]))
+        assert len(set(want)) == 2 and (got == want).all(), levels
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     assert simhash.keep_one(docs(spark, [])).count() == 0
