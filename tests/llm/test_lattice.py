@@ -121,5 +121,24 @@ def test_hot_cells_are_cut_up(spark):
         assert same_groups([got[i] for i in range(len(v))], want), levels
 
 
+def test_a_hot_cell_loses_no_link_between_two_members(spark, monkeypatch):
+    rng, parts = np.random.default_rng(12), []
+    for _ in range(2):  # two thick groups at 0 and 44 degrees, joined by one pair of members at 14 and 30
+        a, w = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        at = lambda degrees: np.cos(np.radians(degrees)) * a + np.sin(np.radians(degrees)) * w  # noqa: B023, E731
+        for degrees, n in ((0, 400), (44, 400), (14, 1), (30, 1)):
+            x = at(degrees) + (n > 1) * 0.002 * rng.normal(size=(n, 32))
+            parts.append(x / np.linalg.norm(x, axis=1, keepdims=True))
+    v = np.concatenate(parts)
+    v = v[rng.permutation(len(v))]
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    want = groups_by_brute_force(v).tolist()
+    assert len(set(want)) == 2
+    monkeypatch.setattr(lattice, "plan", lambda *a: (0, 1))  # one cell for all
+    for levels in (1, 3):
+        got = {r.vec_id: r.group_id for r in lattice.near_duplicates(d, hot=200, every=1, levels=levels).collect()}
+        assert same_groups([got[i] for i in range(len(v))], want), levels
+
+
 def test_empty_table(spark):
     assert lattice.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
