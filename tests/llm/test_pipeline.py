@@ -1,13 +1,16 @@
 import os
+from functools import partial
 from urllib.parse import urlsplit
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import queries
-from tests.llm.cases import odd_docs, words
+from gleaner.llm import queries, simhash
+from tests.llm.cases import odd_docs, simple, words
+from tests.llm.test_simhash import bridged
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +91,13 @@ def test_queries_against_sql(spark, name):
     columns = [d[0] for d in result.description]
     want = sorted(result.fetchall(), key=str)
     assert sorted((tuple(r) for r in queries.QUERIES[name](spark, sf).select(*columns).collect()), key=str) == want
+
+
+def test_near_dedup_loses_no_link_in_a_hot_node(spark, monkeypatch):
+    fps = bridged(np.random.default_rng(13))
+    signed = spark.createDataFrame([(k, *map(int, f.view(np.int64))) for k, f in enumerate(fps)], "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    monkeypatch.setattr(simhash, "signatures", lambda unique: signed)
+    monkeypatch.setattr(simhash, "plan", lambda *a: (0, 1))  # one node for all
+    monkeypatch.setattr(simhash, "keep_one", partial(simhash.keep_one, hot=200, every=1))
+    kept = corpus_pipeline.near_dedup(spark, simple(spark, [words(3, k) for k in range(len(fps))]), "")
+    assert kept.count() == 2
