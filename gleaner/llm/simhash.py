@@ -10,11 +10,10 @@ The forest holds several tries, each over its own random permutation of the
 bits.  Equal fingerprints are collapsed first.  The prefix depth follows the
 density: it starts where a leaf would hold about ``leaf`` of the n distinct
 fingerprints, and climbs to shorter prefixes until ``max_tries`` tries reach
-``recall`` for a pair whose distance is ``max_distance``; a node that is still
-crowded is searched by a forest of its own, drawn anew for every trie above it,
-so that what one parent misses another can find.  Every candidate pair is
-verified on all 256 bits, and groups are the connected components of the
-verified pairs.  Nodes of more than about ``hot`` distinct fingerprints are cut
+``recall`` for a pair whose distance is ``max_distance``.  Every two members of a
+node are compared on all 256 bits, however many it has (large nodes by products
+of matrices), or are in one group already; groups are the connected components
+of the pairs found.  Nodes of more than about ``hot`` distinct fingerprints are cut
 up (``common.search_cells``), so that no task holds them whole, and yet every
 two of their members are compared or in one group already.  A task keeps
 components and not pairs: those of thick groups would fill its memory.
@@ -46,8 +45,10 @@ MAX_DISTANCE = 56
 RECALL = 0.95
 LEAF = 16
 MAX_TRIES = 64
+DENSE = 64
 CROWDED = 1024
 PIVOTS = 16
+BLOCK = 512
 FOLD = 1 << 20
 FP = [f"f{i}" for i in range(WORDS)]
 
@@ -125,7 +126,7 @@ def _fingerprint_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
 def plan(n: int, recall: float = RECALL, distance: int = MAX_DISTANCE, leaf: int = LEAF, max_tries: int = MAX_TRIES) -> tuple[int, int]:
     """(depth, tries) for n fingerprints: climb from the density's depth until the recall is met at ``distance``.
 
-    A crowded node finds only ``RECALL`` of its pairs, so that share of a try is counted.
+    A try is counted at ``RECALL`` of what it finds, as a margin: nodes are compared whole.
     """
 
     def tries(depth: int) -> int:
@@ -207,11 +208,8 @@ def _one_to_all(fps: np.ndarray, one: int, rows: np.ndarray, limit: int, links:
     links.add(i[near], j[near])
 
 
-def _search(fps: np.ndarray, rows: np.ndarray, run: np.ndarray, limit: int, path: tuple[int, ...] | None, links: _Links) -> None:
-    """Adds the pairs in runs of ``rows`` (sorted by run); a run over CROWDED rows gets a forest of its own.
-
-    ``path`` names the tries above and seeds that forest; at the top a run's trie is in its bits from 48 on.
-    """
+def _search(fps: np.ndarray, rows: np.ndarray, run: np.ndarray, limit: int, links: _Links) -> None:
+    """Adds the pairs in runs of ``rows`` (sorted by run); every two rows of a run are compared, or joined already."""
     if not len(run):
         return
     cuts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
@@ -221,57 +219,62 @@ def _search(fps: np.ndarray, rows: np.ndarray, run: np.ndarray, limit: int, path
         mixed = np.minimum.reduceat(label, cuts) != np.maximum.reduceat(label, cuts)
     else:
         mixed = sizes > 1
-    crowded = sizes > CROWDED
-    small = np.flatnonzero(np.repeat(mixed & ~crowded, sizes))
+    dense = sizes > DENSE
+    small = np.flatnonzero(np.repeat(mixed & ~dense, sizes))
     _close_in_runs(fps, rows[small], run[small], limit, links)
-    for at, m in zip(cuts[crowded & mixed], sizes[crowded & mixed]):
+    for at, m in zip(cuts[dense & mixed], sizes[dense & mixed]):
         own = rows[at : at + m]
-        if path is None:
-            _crowded(fps, own, limit, (int(run[at]) >> 48 & 0xFFFF,), links)
+        if m > CROWDED and links.stars:
+            _crowded(fps, own, limit, links)
         else:
-            _forest(fps, own, limit, path, links)
+            _whole(fps, own, limit, links)
 
 
-def _crowded(fps: np.ndarray, own: np.ndarray, limit: int, path: tuple[int, ...], links: _Links) -> None:
-    """The pairs of one crowded run, with labels of its own; thick groups are joined over a few rows first."""
-    if not links.stars:
-        return _forest(fps, own, limit, path, links)
+def _crowded(fps: np.ndarray, own: np.ndarray, limit: int, links: _Links) -> None:
+    """The components of one crowded run, with labels of its own; thick groups are joined over a few rows first."""
     mine = _Links(known(np.zeros(len(own), np.int64), links.label[own]), True)
     fps, all_rows, before = fps[own], np.arange(len(own)), mine.label
     for one in range(0, len(own), -(-len(own) // PIVOTS)):
         _one_to_all(fps, one, all_rows, limit, mine)
         mine.fold()
-    _forest(fps, all_rows, limit, path, mine)
+    _whole(fps, np.argsort(mine.label, kind="stable"), limit, mine)
     mine.fold()
     moved = np.flatnonzero(mine.label != before)
     links.add(own[mine.label[moved]], own[moved])
 
 
-def _forest(fps: np.ndarray, own: np.ndarray, limit: int, path: tuple[int, ...], links: _Links) -> None:
-    m = len(own)
-    depth, tries = plan(m, distance=limit) if len(path) < 4 else (0, 1)
-    if not depth or tries * LEAF * 2 > m:
-        for k in range(m - 1):
-            _one_to_all(fps, own[k], own[k + 1 :], limit, links)
-        return
-    for t in range(tries):
-        bits = np.random.default_rng([len(path), *path, t]).permutation(BITS)[:depth]
-        key = _prefixes(fps[own], bits)
-        order = np.argsort(key, kind="stable")
-        _search(fps, own[order], key[order], limit, (*path, t), links)
+def _signs(fps: np.ndarray) -> np.ndarray:
+    """1 and -1 for the bits: the product of two rows is BITS less twice their distance, exact in single precision."""
+    return np.unpackbits(fps.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+
+
+def _whole(fps: np.ndarray, own: np.ndarray, limit: int, links: _Links) -> None:
+    """Adds the pairs of the rows ``own``, compared in blocks; blocks of one component are left out with ``stars``."""
+    for i0 in range(0, len(own), BLOCK):
+        a = own[i0 : i0 + BLOCK]
+        left = _signs(fps[a])
+        for j0 in range(i0, len(own), BLOCK):
+            b = own[j0 : j0 + BLOCK]
+            if links.stars and (links.label[a] == links.label[b[0]]).all() and (links.label[b] == links.label[b[0]]).all():
+                continue
+            right = left if i0 == j0 else _signs(fps[b])
+            i, j = np.divmod(np.flatnonzero(left @ right.T >= BITS - 2 * limit), len(b))
+            if i0 == j0:
+                i, j = i[i < j], j[i < j]
+            links.add(*links.open(a[i], b[j]))
 
 
 def close_pairs(fps: np.ndarray, run: np.ndarray, limit: int = MAX_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Pairs in runs (sorted)."""
     links = _Links(np.arange(len(run)), False)
-    _search(fps, np.arange(len(run)), run, limit, None, links)
+    _search(fps, np.arange(len(run)), run, limit, links)
     return links.pairs()
 
 
 def close_groups(fps: np.ndarray, run: np.ndarray, limit: int = MAX_DISTANCE, label: np.ndarray | None = None) -> np.ndarray:
     """Each row's least row of its component in its run (sorted); ``label`` is what is known of it before."""
     links = _Links(np.arange(len(run)) if label is None else label, True)
-    _search(fps, np.arange(len(run)), run, limit, None, links)
+    _search(fps, np.arange(len(run)), run, limit, links)
     links.fold()
     return links.label
 
