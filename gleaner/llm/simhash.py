@@ -49,6 +49,7 @@ DENSE = 64
 CROWDED = 1024
 PIVOTS = 16
 BLOCK = 512
+ENTRIES = 1 << 19
 FOLD = 1 << 20
 FP = [f"f{i}" for i in range(WORDS)]
 
@@ -280,9 +281,13 @@ def close_groups(fps: np.ndarray, run: np.ndarray, limit: int = MAX_DISTANCE, la
 
 
 def signatures(unique: DataFrame) -> DataFrame:
-    """(doc_id, f0..f3) of rows unique by doc_id, computed in one scan of the texts."""
+    """(doc_id, f0..f3) of rows unique by doc_id, computed in one scan of the texts.
+
+    They are moved once, so that the checkpoint has few files: for each one Hadoop, where it has no native
+    library, lets the executor start processes, and each of these looks as large as the executor until it runs.
+    """
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in FP)
-    return cut(unique.select("doc_id", "text").mapInArrow(lean(_fingerprint_batches), schema))
+    return cut(unique.select("doc_id", "text").mapInArrow(lean(_fingerprint_batches), schema).repartition("doc_id"))
 
 
 def _matrix(t: pa.Table | pa.RecordBatch) -> np.ndarray:
@@ -312,9 +317,12 @@ def near_pairs(reps: DataFrame, max_distance: int = MAX_DISTANCE, recall: float
     """(a, b): verified pairs of the distinct fingerprints ``reps`` (rep, f0..f3).
 
     With ``stars`` the pairs found together are replaced by edges to the first
-    member of each component, so that thick groups don't cost pairs.
+    member of each component, so that thick groups don't cost pairs.  A task that
+    lays fingerprints over the tries writes about ``ENTRIES`` entries, however many
+    ``reps`` there are: its heap holds them until they are sorted.
     """
-    depth, tries = plan(reps.count(), recall, max_distance)
+    n = reps.count()
+    depth, tries = plan(n, recall, max_distance)
     bits = _permutations(tries, depth)
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +332,7 @@ def near_pairs(reps: DataFrame, max_distance: int = MAX_DISTANCE, recall: float
                 node = (np.uint64(t) << np.uint64(48)) | _prefixes(fps, bits[t])
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(b.column(c) for c in names[1:])], names=names)
 
-    members = reps.select(F.col("rep").alias("id"), *FP)
+    members = reps.select(F.col("rep").alias("id"), *FP).repartition(max(1, math.ceil(n * tries / ENTRIES)), "id")
     schema = "cell long, id long, " + ", ".join(f"{c} long" for c in FP)
     found = search_cells(members, spread, _compare(max_distance, stars), schema, stars, hot, **cut_up)
     links = found[0]
