@@ -44,7 +44,7 @@ def test_without_sql_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", ["page_parts", "dom_links"])
+@pytest.mark.parametrize("name", ["page_parts", "dom_links", "main_content_text"])
 def test_references_cut_off(spark, name, tmp_path):
     """Texts cut inside a character reference, as pages of the larger tables have them."""
     ends = ["&amp;&amp", "&amp;&am", "&quot", "&quo", "&lt", "&", "& b", "&amp;lt;", "&quot;c", "&lt;b&gt;"]
