@@ -29,13 +29,21 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+"))
 
 
-def shingles(text: Column, size: int = 3) -> Column:
+def shingle_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-zäöüß0-9]+"), F.lit(0))
+
+
+def runs(words: Column, size: int = 3) -> Column:
     """Overlapping runs of ``size`` words joined by a blank; the words themselves where there are fewer."""
     runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-zäöüß0-9]+"), F.lit(0))
     return bind(words, lambda w: F.when(F.size(w) < size, w).otherwise(runs(w)))
 
 
+def shingles(text: Column, size: int = 3) -> Column:
+    """``runs`` of the words of a text."""
+    return runs(shingle_words(text), size)
+
+
 def page_snippet(description: Column, h1: Column, text: Column, limit: int = 700) -> Column:
     """Description, heading unless the description holds it, text; collapsed and cut."""
     d, h = F.coalesce(description, F.lit("")), F.trim(F.coalesce(h1, F.lit("")))

@@ -34,12 +34,12 @@ def tokenize_terms(spark, sf):
 
 @query("term_positions", f"WITH {TF} SELECT doc, term, array_to_string(positions, ',') AS positions FROM tf")
 def term_positions(spark, sf):
-    return index.term_frequencies(_docs(spark, sf)).select("doc", "term", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+    return index.term_frequencies(_docs(spark, sf), ("positions",)).select("doc", "term", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 @query("term_frequency", f"WITH {TF} SELECT doc, term, tf FROM tf")
 def term_frequency(spark, sf):
-    return index.term_frequencies(_docs(spark, sf)).select("doc", "term", "tf")
+    return index.term_frequencies(_docs(spark, sf), ("tf",)).select("doc", "term", "tf")
 
 
 @query("document_frequency", f"WITH {TF} SELECT term, count(*) AS df FROM tf GROUP BY term")

@@ -99,3 +99,32 @@ def test_page_snippet(spark):
     f = lambda d, h, t: one(spark, text.page_snippet(F.lit(d).cast("string"), F.lit(h).cast("string"), F.lit(t)), x=0)
     assert f("About us", " us ", "body  text") == "About us body text"
     assert f(None, "Head", "body") == "Head body" and len(f("d", "h", "x " * 900)) <= 700
+
+
+def test_counting_moves_nothing(spark):
+    """Terms are counted in the row that holds them; so are the distinct ones."""
+    rows = [(i, " ".join(f"w{(i * k) % 7}x" for k in range(i % 9))) for i in range(200)]
+    docs = index.documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    counted = index.term_frequencies(docs)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, body in rows:
+        for at, w in enumerate(body.split()):
+            want.setdefault((i, w), []).append(at)
+    got = {(r.doc, r.term): (r.length, r.tf, r.first, r.positions) for r in counted.collect()}
+    assert got == {(i, w): (len(rows[i][1].split()), len(at), at[0], at) for (i, w), at in want.items()}
+    df = {r.term: r.df for r in index.frequencies(docs).collect()}
+    assert df == {w: sum(v == w for _, v in want) for w in {w for _, w in want}}
+
+
+def test_counting_of_repeated_numbers_and_pieces(spark, monkeypatch):
+    """Rows of one number and length are one document, as before; pieces of few tokens give the same as whole batches."""
+    docs = index.documents(spark.createDataFrame([(1, "aa bb aa"), (1, "bb bb cc"), (2, "aa"), (2, "aa bb"), (3, ""), (4, None)], "doc_id long, text string"))
+    got = sorted((r.doc, r.length, r.term, r.tf, r.first, r.positions) for r in index.term_frequencies(docs).collect())
+    assert got == [(1, 3, "aa", 2, 0, [0, 2]), (1, 3, "bb", 3, 0, [0, 1, 1]), (1, 3, "cc", 1, 2, [2]), (2, 1, "aa", 1, 0, [0]), (2, 2, "aa", 1, 0, [0]), (2, 2, "bb", 1, 1, [1])]
+    assert {r.term: r.df for r in index.frequencies(docs).collect()} == {"aa": 3, "bb": 2, "cc": 1}
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_pydict({"terms": [["a", "b"], [], None, ["c"] * 5, ["d"]]})
+    cut = [(p.num_rows, row.tolist(), at.tolist()) for p, row, at in index.pieces(b, 3)]
+    assert cut == [(3, [0, 0], [0, 1]), (1, [0] * 5, [0, 1, 2, 3, 4]), (1, [0], [0])]
