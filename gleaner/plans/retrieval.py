@@ -127,4 +127,5 @@ def word_counts(spark, sf):
 
 @query("shingle_counts", "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zäöüß0-9]+') AS w FROM documents), s AS (SELECT doc_id, unnest(CASE WHEN len(w) < 3 THEN w ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS shingle FROM w) SELECT doc_id, shingle, count(*) AS n FROM s GROUP BY ALL")
 def shingle_counts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(text.shingles(F.col("text"))).alias("shingle")).groupBy("doc_id", "shingle").agg(F.count("*").alias("n"))
+    words = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), text.shingle_words(F.col("text")).alias("terms"))
+    return index.shingle_counts(words).withColumnRenamed("doc", "doc_id")

@@ -128,3 +128,15 @@ def test_counting_of_repeated_numbers_and_pieces(spark, monkeypatch):
     b = pa.RecordBatch.from_pydict({"terms": [["a", "b"], [], None, ["c"] * 5, ["d"]]})
     cut = [(p.num_rows, row.tolist(), at.tolist()) for p, row, at in index.pieces(b, 3)]
     assert cut == [(3, [0, 0], [0, 1]), (1, [0] * 5, [0, 1, 2, 3, 4]), (1, [0], [0])]
+
+
+def test_shingle_counts_move_nothing(spark):
+    rows = [(i, " ".join(f"w{(i * k) % 3}" for k in range(i % 8))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc long, body string").select("doc", text.shingle_words(F.col("body")).alias("terms"))
+    counted = index.shingle_counts(docs)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    by_rows = lambda df: sorted((r.doc, r.shingle, r.n) for r in df.collect())
+    want = docs.select("doc", F.explode(text.runs(F.col("terms"))).alias("shingle")).groupBy("doc", "shingle").agg(F.count("*").alias("n"))
+    assert by_rows(counted) == by_rows(want)
+    twice = docs.unionByName(docs)
+    assert by_rows(index.shingle_counts(twice)) == by_rows(want.withColumn("n", 2 * F.col("n")))
