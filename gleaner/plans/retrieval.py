@@ -44,7 +44,7 @@ def term_frequency(spark, sf):
 
 @query("document_frequency", f"WITH {TF} SELECT term, count(*) AS df FROM tf GROUP BY term")
 def document_frequency(spark, sf):
-    return index.document_frequencies(index.term_frequencies(_docs(spark, sf)))
+    return index.frequencies(_docs(spark, sf))
 
 
 @query("avg_doc_length", f"WITH {DOCS} SELECT count(*) AS n, round(avg(length), 6) AS average FROM docs")
@@ -57,8 +57,7 @@ IDF = f"WITH {TF}, d AS (SELECT term, count(*) AS df FROM tf GROUP BY term), s A
 
 def _idf(spark, sf, f):
     docs = _docs(spark, sf)
-    df = index.document_frequencies(index.term_frequencies(docs))
-    return df.crossJoin(F.broadcast(index.corpus_stats(docs))).select("term", F.round(f(F.col("n"), F.col("df")), 6).alias("idf"))
+    return index.frequencies(docs).crossJoin(F.broadcast(index.corpus_stats(docs))).select("term", F.round(f(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query("bm25_idf", IDF % "ln(1 + (n - df + 0.5) / (df + 0.5))")
