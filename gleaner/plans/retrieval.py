@@ -73,8 +73,7 @@ def tfidf_idf(spark, sf):
 @query("tfidf_scores", f"WITH {TF}, d AS (SELECT term, count(*) AS df FROM tf GROUP BY term), s AS (SELECT count(*) AS n FROM docs) SELECT doc, tf.term, round(tf * (ln((1 + n) / (1 + df)) + 1), 6) AS score FROM tf JOIN d USING (term), s")
 def tfidf_scores(spark, sf):
     docs = _docs(spark, sf)
-    tf = index.term_frequencies(docs)
-    joined = tf.join(index.document_frequencies(tf), "term").crossJoin(F.broadcast(index.corpus_stats(docs)))
+    joined = index.with_df(index.term_frequencies(docs, ("tf",)), docs)
     return joined.select("doc", "term", F.round(F.col("tf") * scoring.tfidf_idf(F.col("n"), F.col("df")), 6).alias("score"))
 
 
