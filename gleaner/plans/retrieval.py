@@ -79,7 +79,7 @@ def tfidf_scores(spark, sf):
 
 @query("bm25_postings", f"WITH {POSTINGS} SELECT term, doc, tf, round(score, 6) AS score, len(positions)::INTEGER AS hits, positions[1]::INTEGER AS first FROM postings")
 def bm25_postings(spark, sf):
-    p = index.postings(_docs(spark, sf))
+    p = index.postings(_docs(spark, sf), fields=("tf", "first"))
     return p.select("term", "doc", "tf", F.round("score", 6).alias("score"), F.col("tf").cast("int").alias("hits"), "first")
 
 
