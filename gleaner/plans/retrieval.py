@@ -94,7 +94,7 @@ SCORED = f"WITH {POSTINGS}, {ASKED}, scored AS (SELECT item_id AS query_id, doc,
 
 @query("batch_search_topk", f"{SCORED} SELECT query_id, rank::INTEGER AS rank, round(score, 6) AS score, doc FROM ranked WHERE rank <= 100")
 def batch_search_topk(spark, sf):
-    best = search.top(search.matches(_docs(spark, sf), _queries(spark, sf)), 100)
+    best = search.best(_docs(spark, sf), _queries(spark, sf), 100)
     return best.select("query_id", "rank", F.round("score", 6).alias("score"), "doc")
 
 
@@ -114,7 +114,7 @@ def search_topk(spark, sf):
 
 @query("run_file_export", f"{SCORED} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS rank, 'http://docs/' || doc AS url, printf('%.4f', round(score, 9)) AS score FROM ranked WHERE rank <= 100 AND doc % 7 <> 0")
 def run_file_export(spark, sf):
-    best = search.top(search.matches(_docs(spark, sf), _queries(spark, sf)), 100).withColumn("score", F.round("score", 9))
+    best = search.best(_docs(spark, sf), _queries(spark, sf), 100).withColumn("score", F.round("score", 9))
     return search.run_file(best.withColumn("url", F.when(F.col("doc") % 7 != 0, F.concat(F.lit("http://docs/"), F.col("doc").cast("string")))))
 
 

@@ -140,3 +140,34 @@ def test_shingle_counts_move_nothing(spark):
     assert by_rows(counted) == by_rows(want)
     twice = docs.unionByName(docs)
     assert by_rows(index.shingle_counts(twice)) == by_rows(want.withColumn("n", 2 * F.col("n")))
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 7])
+def test_best_is_top_of_matches(spark, monkeypatch, cells):
+    """Scored where they lie, or from postings: the same rows, ties and copies by document, queries of one number added up."""
+    monkeypatch.setattr(search, "CELLS", cells)
+    words = [f"w{k}x" for k in range(12)]
+    rows = [(i, " ".join(words[(i * i + k * k) % (7 + i % 6)] for k in range(i % 11))) for i in range(150)] + [(200 + i, "w1x w2x w2x") for i in range(40)]
+    docs = index.documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    queries = spark.createDataFrame([(1, "w1x w2x"), (2, "w3x w1x w9x zzz"), (2, "w1x w4x"), (3, "nothing"), (4, None), (5, "w2x")], "query_id int, query string")
+    by_rows = lambda df: sorted((r.query_id, r["rank"], r.doc, round(r.score, 9), r.at) for r in df.withColumnRenamed("first", "at").collect())
+    for n in (1, 10, 1000):
+        want = by_rows(search.top(search.matches(docs, queries), n))
+        assert by_rows(search.best(docs, queries, n)) == want == by_rows(search.best_hits(index.postings(docs), queries, n)), n
+    assert search.best(docs.limit(0), queries, 5).count() == 0 and search.best(docs, queries.limit(0), 5).count() == 0
+    twice = docs.unionByName(docs)
+    assert by_rows(search.best(twice, queries, 5)) == by_rows(search.top(search.matches(twice, queries), 5))
+
+
+def test_little_moves_in_a_search(spark):
+    """What a task passes on doesn't grow with its documents: the best of each query."""
+    docs = index.documents(spark.createDataFrame([(i, f"aa bb w{i}x" + " aa" * (i % 50)) for i in range(2000)], "doc_id long, text string").repartition(2))
+    rows = spark.createDataFrame([(q, "aa bb") for q in range(5)], "query_id int, query string")
+    asked = search._few(rows)
+    kept = search.Best(asked, 3)
+    import numpy as np
+    import pyarrow as pa
+
+    kept.add(pa.array(range(2000)), np.repeat(np.arange(2000), 2), np.tile([0, 1], 2000), np.ones(4000), np.zeros(4000))
+    assert sum(b.num_rows for b in kept.result()) == 15
+    assert search.best(docs, rows, 3).count() == 15
