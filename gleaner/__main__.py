@@ -55,9 +55,7 @@ def build(spark: SparkSession, pages: str, output: str) -> None:
     files = pages.rstrip("/").endswith(".parquet")
     source = spark.read.parquet(pages) if files else readers.html_files(spark, pages).withColumnRenamed("path", "url")
     docs = index.documents(html.parse_pages(source, fields=("main_text",)), "url", "main_text")
-    docs.write.mode("overwrite").parquet(f"{output}/documents")
-    docs = spark.read.parquet(f"{output}/documents")
-    index.postings(docs).repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{output}/postings")
+    index.build(docs, output)
 
 
 def rows_of(spark: SparkSession, path: str) -> DataFrame:

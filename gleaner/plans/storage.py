@@ -38,8 +38,8 @@ def json_lines_round_trip(spark, sf):
 def index_round_trip(spark, sf):
     """Batch search over an index that was saved and loaded."""
     docs, folder = index.documents(table(spark, sf, "documents")), _folder(spark, "index")
-    index.save(index.postings(docs), docs, folder)
-    best = search.top(search.scores(index.load(spark, folder)[0], retrieval._queries(spark, sf)), 100)
+    index.build(docs, folder)
+    best = search.best_hits(index.load(spark, folder)[0], retrieval._queries(spark, sf), 100)
     return best.select("query_id", "rank", F.round("score", 6).alias("score"), "doc")
 
 

@@ -130,6 +130,18 @@ def test_counting_of_repeated_numbers_and_pieces(spark, monkeypatch):
     assert cut == [(3, [0, 0], [0, 1]), (1, [0] * 5, [0, 1, 2, 3, 4]), (1, [0], [0])]
 
 
+@pytest.mark.parametrize("hot", [0, 3, 1 << 17])
+def test_build_is_save(spark, tmp_path, hot):
+    rows = [(i, " ".join(f"w{(i * k) % 13}x" for k in range(i % 17))) for i in range(100)]
+    docs = index.documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    index.build(docs, str(tmp_path / "b"), hot=hot)
+    index.save(index.postings(docs), docs, str(tmp_path / "s"))
+    built, saved = (sorted((tuple(r) for r in index.load(spark, str(tmp_path / k))[0].collect()), key=str) for k in "bs")
+    assert built == saved and len(built) > 400
+    plan = spark.read.parquet(str(tmp_path / "b" / "postings"))
+    assert plan.columns == ["term", "doc", "tf", "score", "first", "positions"]
+
+
 def test_shingle_counts_move_nothing(spark):
     rows = [(i, " ".join(f"w{(i * k) % 3}" for k in range(i % 8))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc long, body string").select("doc", text.shingle_words(F.col("body")).alias("terms"))
