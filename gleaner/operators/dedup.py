@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -28,27 +28,37 @@ def _md5(feature: bytes) -> bytes:
     return hashlib.md5(feature, usedforsecurity=False).digest()[:8]
 
 
+#: Shingles that are hashed, and texts that are taken out of a batch, at once.
+SHINGLES, TEXTS = 1 << 12, 1 << 6
+
+
 def _print_of(body: str | None, digest=_blake) -> int:
     words = _WORDS.findall((body or "").lower())
-    features = words if len(words) < 3 else map(" ".join, zip(words, words[1:], words[2:]))
-    digests = [digest(f.encode()) for f in features]
-    if not digests:
-        return 0
-    bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8), axis=1)
-    ones = 2 * bits.sum(axis=0, dtype=np.int64) > len(digests)
-    return int.from_bytes(np.packbits(ones).tobytes(), "big", signed=True)
+    features = iter(words) if len(words) < 3 else map(" ".join, zip(words, islice(words, 1, None), islice(words, 2, None)))
+    ones, n = np.zeros(64, np.int64), 0
+    while some := [digest(f.encode()) for f in islice(features, SHINGLES)]:
+        ones += np.unpackbits(np.frombuffer(b"".join(some), np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(some)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+
 
+def _prints_of(bodies: pa.Array, digest=_blake) -> pa.Array:
+    """What is held besides the batch are a few texts and a piece of one text's shingles."""
+    out = np.empty(len(bodies), np.int64)
+    for at in range(0, len(bodies), TEXTS):
+        for k, body in enumerate(bodies.slice(at, TEXTS).to_pylist(), at):
+            out[k] = _print_of(body, digest)
+    return pa.array(out)
 
-@F.pandas_udf(LongType())
-def fingerprint(body: pd.Series) -> pd.Series:
+
+def fingerprint(body: Column | str) -> Column:
     """64-bit SimHash of 3-word shingles hashed with blake2b, as a signed number; 0 without words."""
-    return body.map(_print_of).astype("int64")
+    return F.arrow_udf(lambda bodies: _prints_of(bodies), LongType())(body)
 
 
-@F.pandas_udf(LongType())
-def fingerprint_md5(body: pd.Series) -> pd.Series:
+def fingerprint_md5(body: Column | str) -> Column:
     """The same with md5, which SQL engines have."""
-    return body.map(lambda b: _print_of(b, _md5)).astype("int64")
+    return F.arrow_udf(lambda bodies: _prints_of(bodies, _md5), LongType())(body)
 
 
 BLOCKS = (0, 11, 22, 33, 44, 54, 64)
@@ -61,9 +71,12 @@ def near_pairs(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     of distance 1 to 3, and has a row of distance 0 with each of the others.
     Three bits touch three of six blocks at most, so two near fingerprints agree
     in the other three: the join is by each choice of three, 31 to 33 bits.
+    Fingerprints are kept, so that no text is hashed twice.
     """
     if not 0 <= distance <= 3:
         raise ValueError("three of six blocks find distances up to 3")
+    checkpoint_folder(prints.sparkSession)
+    prints = prints.checkpoint()
     same = prints.groupBy("fp").agg(F.min("id").alias("id"))
     block = [((1 << z) - (1 << a)) for a, z in zip(BLOCKS, BLOCKS[1:])]
     masks = [sum(block[k] for k in three) for three in combinations(range(6), 3)]

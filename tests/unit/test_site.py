@@ -187,3 +187,35 @@ def test_the_query_trains_with_the_page_recipe(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ml, "predict", lambda rows, model: rows.select("id"))
     site.train_page_classifier(spark, str(tmp_path))
     assert used == [ml.PAGE]
+
+
+def test_texts_are_hashed_once(spark):
+    """Pairs and members of one table of fingerprints: each text is read for them once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def slow(i):
+        seen.add(1)
+        return i % 3
+
+    dedup.near_pairs(spark.range(30).select("id", slow("id").alias("fp"))).collect()
+    assert seen.value == 30
+
+
+def test_fingerprint_holds_a_piece_of_a_long_text(spark):
+    """Shingles are hashed in pieces, and the pieces add up to the whole."""
+    import tracemalloc
+
+    body = " ".join(f"w{k % 977}" for k in range(150_000))
+    tracemalloc.start()
+    got = dedup._print_of(body)
+    words = body.split()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15_000_000  # 30 MB with all shingles at once
+    bits = [0] * 64
+    for f in map(" ".join, zip(words, words[1:], words[2:])):
+        v = int.from_bytes(dedup._blake(f.encode()), "big")
+        for k in range(64):
+            bits[k] += 2 * (v >> k & 1) - 1
+    assert got & (1 << 64) - 1 == sum(1 << k for k in range(64) if bits[k] > 0)
