@@ -115,3 +115,15 @@ def test_a_round_takes_what_hosts_still_allow(spark):
     state = crawl.State(frontier, frontier.select("url"), none, none, spark.createDataFrame([], crawl.LINK), spark.createDataFrame([], crawl.STATISTICS))
     s = crawl.Settings(per_round=None)
     assert {r.host: r["count"] for r in crawl.pick(state, s).groupBy("host").count().collect()} == {"a": s.frontier.reject_cutoff, "b": 3}
+
+
+def test_web_is_made_once_and_files_do_not_pile_up(spark):
+    """A round reads the web of the catalogue's crawl, it doesn't join it anew; rounds add rows but no files without end."""
+    from gleaner.plans import site
+
+    web = site._web(spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in web._jdf.queryExecution().executedPlan().toString() and web.count() > 0
+    rows = spark.range(8).coalesce(1)
+    for _ in range(6):
+        rows = crawl.together(rows, spark.range(2).coalesce(1))
+    assert rows.count() == 20 and rows.rdd.getNumPartitions() <= 4
