@@ -145,3 +145,22 @@ def test_export_ranks_every_link(spark):
     order = sorted(rows, key=lambda r: (abs(r[6] - 0.5) if r[6] is not None else 0.0, r[2], r[1], r[0]))
     assert [r.id for r in sorted(got, key=lambda r: r.rank)] == [r[0] for r in order]
     assert sorted(r.rank for r in got) == list(range(1, 1301))
+
+
+def test_group_split_counts_labels_without_copies(spark):
+    """The hundred splits are tried over the rows as they are; a distinct count each would copy every row 200 times."""
+    rows = spark.createDataFrame([(i, f"t{i}", f"h{i % 20}", "positive" if i % 3 else "negative") for i in range(200)], "id long, text string, host string, label string")
+    plans = []
+    agg = type(rows).agg
+
+    def spy(self, *columns):
+        made = agg(self, *columns)
+        plans.append(made._jdf.queryExecution().optimizedPlan().toString())
+        return made
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(rows), "agg", spy)
+        train, test = ml.group_split(rows)
+    assert plans and "Expand" not in plans[0]
+    hosts = [{r.host for r in d.select("host").distinct().collect()} for d in (train, test)]
+    assert not hosts[0] & hosts[1] and train.count() + test.count() == 200
